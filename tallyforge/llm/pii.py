@@ -13,6 +13,7 @@ text around the placeholders is unchanged; repeated rows come out once.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,31 +57,34 @@ def shaped(s: str) -> str:
     return _DIGIT.sub("0", s)
 
 
-# what a span of each kind must look like, on plain text; the match is what is kept
+# what a piece of each kind must look like, on plain text; of the matches near a span, the one that overlaps it most is the piece
 _CHECK = {
-    "phone": regex.compile(r"[+(]?[0-9][0-9 ().+-]*[0-9]"),
-    "email": regex.compile(r"[\w.+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?:(?: ?\[dot\] ?|\(dot\)|\.)[\w-]+)+"),
-    "id_number": regex.compile(r"[a-z]{0,5}[0-9][a-z0-9 -]*[a-z0-9]"),
-    "address": regex.compile(r"\S(?:.*\S)?"),
-    "name": regex.compile(r"[\p{L}\p{M}]+ +[\p{L}\p{M}]+"),
+    "phone": regex.compile(r"(?<![\w.])(?:\+?[0-9]{1,4}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?)?[0-9][0-9 .-]{5,13}[0-9](?![\w])"),
+    "email": regex.compile(r"(?<![\w.+-])[\w.+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?:(?: ?\[dot\] ?|\(dot\)|\.)[\w-]+)+"),
+    "id_number": regex.compile(r"(?<![\w])(?:[a-z]{2,6}[0-9]{3,9}[a-z]?|[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4})(?![\w])"),
+    "address": regex.compile(r"(?<![\w/])(?:\p{L}[\p{L}\p{M}.]* (?:[\p{L}\p{M}.]+ )?)?[0-9][^\n;|]*[\p{L}\p{M}]"),
+    "name": regex.compile(r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{3,} +[\p{L}\p{M}]{3,}(?![\p{L}\p{M}])"),
 }
-_LEAST_DIGITS = {"phone": 8, "id_number": 4, "address": 1}
+_NEAR = 16
+_LEAST_DIGITS = {"phone": 8}
 
 
 def checked(kind: str, s: str, begin: int, end: int) -> tuple[int, int] | None:
-    """The span cut to whole words and to the shape of its kind, or None."""
-    word = lambda c: c.isalnum() or regex.match(r"\p{M}", c) is not None
+    """The piece of its kind's shape that a span overlaps, or None; names and addresses may only be cut to whole words."""
+    word = lambda c: c.isalnum() or unicodedata.category(c)[0] == "M"
     while begin > 0 and word(s[begin - 1]) and word(s[begin]):
         begin -= 1
     while end < len(s) and word(s[end - 1]) and word(s[end]):
         end += 1
-    m = _CHECK[kind].search(s, begin, end)
-    if not m or len(_DIGIT.findall(m[0])) < _LEAST_DIGITS.get(kind, 0) or kind == "name" and m.end() - m.start() < 0.6 * (end - begin):
+    lo, hi = (begin, end) if kind in ("name", "address") else (max(0, begin - _NEAR), min(len(s), end + _NEAR))
+    best, most = None, 0
+    for m in _CHECK[kind].finditer(s, lo, hi, overlapped=kind == "name"):
+        shared = min(end, m.end()) - max(begin, m.start())
+        if shared > most and len(_DIGIT.findall(m[0])) >= _LEAST_DIGITS.get(kind, 0):
+            best, most = m.span(), shared
+    if best is None or kind == "name" and best[1] - best[0] < 0.6 * (end - begin):
         return None
-    begin, end = m.span()
-    if kind == "phone" and begin > 0 and s[begin - 1] in "+(":
-        begin -= 1
-    return begin, end
+    return best
 
 
 @lru_cache(maxsize=1)

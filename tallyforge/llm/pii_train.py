@@ -16,7 +16,8 @@ import regex
 from tallyforge.llm.pii import FIELD, KINDS, TAGS, plain, save, shaped, spans
 from tallyforge.llm.tagger import Tagger
 
-ROWS = 7_000
+ROWS = 12_000
+_TIMED = regex.compile(r"[0-9][:h][0-9]{2}|[0-9]{10}")
 # The parts from which given and family names of these groups are built, by script.
 NAMES = [
     ("zar mih hul dal oth tav nuv sor bel fer yem kir", "mun rin val oshi isho eela urak andi", "lohr kesh pash zub vel gom dor tan mur", "olti vandi marak bhuri ekhar andol ustani"),
@@ -59,16 +60,16 @@ def tags_of(p: str, field: str) -> list[int]:
 
 
 def sample(texts: list[str], senders: list[str], rows: int) -> list[tuple[str, str]]:
-    """At most `rows` (value, field), by hash; texts with a cue or a quarter without, so that rare kinds are met often."""
-    order = sorted({t for t in texts if t and t.strip()}, key=lambda t: crc32(t.encode("utf-8", "replace")))
-    rich, poor = [], []
-    for t in order:
-        kinds = {k for k, *_ in label(plain(t)[0], "text")}
-        (rich if kinds - {"name"} else poor).append((t, "text"))
+    """At most `rows` (value, field), by hash: texts with more than names, with a moment, and others, in fixed shares, then senders."""
+    by_hash = lambda v: sorted({t for t in v if t and t.strip()}, key=lambda t: crc32(t.encode("utf-8", "replace")))
+    rich, timed, poor = [], [], []
+    for t in by_hash(texts):
+        p = plain(t)[0]
+        kinds = {k for k, *_ in label(p, "text")}
+        (rich if kinds - {"name"} else timed if _TIMED.search(p) else poor).append((t, "text"))
     n = rows * 5 // 6
-    rich = rich[: n * 3 // 5]
-    who = sorted({s for s in senders if s and s.strip()}, key=lambda t: crc32(t.encode("utf-8", "replace")))
-    return rich + poor[: n - len(rich)] + [(s, "sender") for s in who[: rows - n]]
+    rich, timed = rich[: n * 9 // 20], timed[: n * 4 // 20]
+    return rich + timed + poor[: n - len(rich) - len(timed)] + [(s, "sender") for s in by_hash(senders)[: rows - n]]
 
 
 def main(path: str, rows: int = ROWS, epochs: int = 8) -> None:
