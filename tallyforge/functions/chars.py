@@ -67,7 +67,9 @@ def sender_key(col: Column) -> Column:
 _WS = re.compile(r"\s+")
 
 
+_PY_KEY = str.maketrans({**_FOLD, **ACCENTS, **{m: "" for m in MARKS}})
+
+
 def py_key(s: str) -> str:
     """Python twin of `sender_key`."""
-    s = s.translate(_PY_FOLD).translate({ord(m): None for m in MARKS}) if not s.isascii() else s
-    return _WS.sub(" ", "".join(ACCENTS.get(c, c) for c in s).lower()).strip(" ")
+    return _WS.sub(" ", (s if s.isascii() else s.translate(_PY_KEY)).lower()).strip(" ")
