@@ -167,9 +167,11 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
 
 def labelled(documents: DataFrame, labels: DataFrame, bound: int) -> tuple[list[str], np.ndarray]:
     """At most `bound` labelled texts, chosen by a hash of the id, and their levels from 0."""
-    one = labels.where(F.col("level").between(1, LEVELS)).groupBy("doc_id").agg(F.floor(F.avg("level") + 0.5).cast("int").alias("level"))
-    pick = documents.where("text is not null and trim(text) <> ''").join(one, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("level").alias("level"))
-    rows = pick.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("text", "level").collect()
+    one = labels.where(F.col("level").between(1, LEVELS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.floor(F.avg("level") + 0.5).cast("int").alias("level"))
+    # `bound` ids at most, so that they may be broadcast: no text is shuffled
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    texts = documents.where("text is not null and trim(text) <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "level")
+    rows = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("level").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "level").collect()
     return [r.text for r in rows], np.array([r.level - 1 for r in rows], dtype=int)
 
 
