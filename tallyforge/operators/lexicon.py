@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import simplify
+from tallyforge.functions.text import nfc, simplify
 
 #: Longest span of words looked up, and the most optional slots of a pattern.
 MAX_SPAN, MAX_OPTIONAL = 8, 12
@@ -79,11 +79,13 @@ def lookup(keys: DataFrame, dictionary: DataFrame, decisions: DataFrame | None =
 
 def classify_phrases(phrases: DataFrame, dictionary: DataFrame, decisions: DataFrame | None = None, rules: tuple[DataFrame, DataFrame, list[str]] | None = None) -> DataFrame:
     """distinct (phrase) -> (phrase, labels): a greedy longest-first cover of the whole phrase, else its leftmost longest span, else none."""
-    d = phrases.where("phrase is not null").distinct().withColumn("words", F.split("phrase", " "))
+    d = phrases.where("phrase is not null").distinct().withColumn("words", F.split(nfc(F.col("phrase")), " "))
     n = F.size("words")
     starts = F.explode(F.sequence(F.lit(1), n)).alias("start")
     spans = d.where(n > 0).select("phrase", "words", starts).select("phrase", "words", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(2 * MAX_SPAN), F.size("words") - F.col("start") + 1))).alias("len"))
-    spans = spans.select("phrase", F.size("words").alias("n"), "start", "len", simplify(F.array_join(F.slice("words", F.col("start"), F.col("len")), " ")).alias("key")).where(F.size(F.split("key", " ")) <= MAX_SPAN)
+    # the generator keeps the key from being computed anew in each filter
+    key = simplify(F.array_join(F.slice("words", F.col("start"), F.col("len")), " "), compose=False)
+    spans = spans.select("phrase", F.size("words").alias("n"), "start", "len", F.inline(F.array(F.struct(key.alias("key"))))).where(F.size(F.split("key", " ")) <= MAX_SPAN)
     composed = compose(spans.where("key <> ''"), *rules) if rules else None
     hits = lookup(spans.where("key <> ''"), dictionary, decisions, composed).where("canonical is not null")
     per_start = hits.groupBy("phrase", "n", "start").agg(F.max(F.struct("len", "canonical")).alias("h"))

@@ -38,17 +38,17 @@ def as_blocks(messages: DataFrame) -> DataFrame:
     return messages.select(F.col("msg_no").alias("id"), F.col("date").alias("envelope_date"), "sender", F.col("body").alias("text"))
 
 
-def bag_union(rows: DataFrame, identity: list[str], source: str, order: list[str | Column]) -> DataFrame:
+def bag_union(rows: DataFrame, identity: list[str], source: str, order: list[str]) -> DataFrame:
     """Of each identity as many copies as the source with most has; a copy comes from the first source that has it.
 
-    Adds `occ`, the copy's number. Counting is spread by (source, identity), so identical rows of one source are together
-    only in a count; one surviving row per (identity, copy) is kept by an aggregate.
+    Adds `occ`, the copy's number. Copies are counted, never brought together: an identity that a third of all rows share is
+    one row for each source before the window. Equal copies of a source stand where its first stands.
     """
-    occ = F.row_number().over(Window.partitionBy(source, *identity).orderBy(*order))
-    numbered = rows.withColumn("occ", occ)
-    rest = [c for c in rows.columns if c not in identity]
-    best = numbered.groupBy(*identity, "occ").agg(F.min_by(F.struct(*rest), F.struct(F.col(source), *[F.col(o) if isinstance(o, str) else o for o in order])).alias("_r"))
-    return best.select(*identity, "occ", "_r.*")
+    rest = [c for c in rows.columns if c not in (*identity, source)]
+    counted = rows.groupBy(*identity, source).agg(F.count("*").alias("_n"), F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    before = F.coalesce(F.max("_n").over(Window.partitionBy(*identity).orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    new = counted.withColumn("_m", before).where("_n > _m")
+    return new.select(*identity, source, "_r.*", F.explode(F.sequence(F.col("_m") + 1, F.col("_n"))).alias("occ"))
 
 
 def drop_truncated(rows: DataFrame, key: list[str], source: str, body: str = "body") -> DataFrame:

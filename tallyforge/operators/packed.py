@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import spread
+
 SP = r"[\s\p{Z}\p{Cf}]"
 #: Spans within which a delimiter does not split.
 QUOTED = r"\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|(?<![\p{L}\p{M}\p{Nd}])['‘][^'’\n]+['’](?![\p{L}\p{M}\p{Nd}])"
@@ -87,7 +89,7 @@ def report_items(blocks: DataFrame) -> DataFrame:
     note = rf"(?iu)(?:(?<=[\n|;])|^){SP}*{NOTE}(?![\p{{L}}\p{{M}}]){SP}*[:=-]?{SP}*[^\n]*"
     t = F.regexp_replace(F.regexp_replace(F.col("text"), DATE, ""), r"\r\n?", "\n")
     lines = F.transform(F.split(t, "\n"), lambda x: F.when(x.rlike(rf"(?iu)^{SP}*(?:register|sl no)"), x).otherwise(F.regexp_replace(x, note, "")))
-    d = blocks.where(F.col("text").rlike(r"\p{Nd}")).select(F.col("id").cast("long").alias("id"), F.array_join(lines, "\n").alias("__x"))
+    d = spread(blocks.select("id", "text")).where(F.col("text").rlike(r"\p{Nd}")).select(F.col("id").cast("long").alias("id"), F.array_join(lines, "\n").alias("__x"))
     p = unpack(d, "__x").select("id", "pos", F.inline(F.array(F.struct(item(F.col("piece")).alias("value")))))
     by = p.where("value is not null").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "value"))).alias("v")).where(F.size("v") >= 2)
     return by.select("id", F.posexplode("v").alias("pos", "v")).select("id", (F.col("pos") + 1).alias("pos"), F.col("v.value").alias("value"))

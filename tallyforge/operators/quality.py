@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.session import spread
 
 CONTENT, DROPPED, OPEN = ["chant-label", "count"], ["filler", "name", "date", "greeting", "phone", "list-marker", "other"], ["uncertain"]
 
@@ -41,7 +42,7 @@ def gate(diff: DataFrame, threshold: int = 100) -> str:
 
 def source_bag(blocks: DataFrame, year: int = 2026) -> DataFrame:
     """(date, value): every number that the blocks' texts report."""
-    return blocks.select(T.norm_date(F.col("envelope_date"), year).alias("date"), F.explode(T.numbers_in(F.col("text"), T.year_of(F.col("envelope_date"), year))).alias("value"))
+    return spread(blocks.select("envelope_date", "text")).select(T.norm_date(F.col("envelope_date"), year).alias("date"), F.explode(T.numbers_in(F.col("text"), T.year_of(F.col("envelope_date"), year))).alias("value"))
 
 
 def fact_bag(facts: DataFrame, year: int = 2026) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators.lexicon import classify_phrases
+from tallyforge.session import spread
 
 PAIRS = "array<struct<label:string,count:long>>"
 
@@ -46,16 +47,19 @@ def carry_forward(s: Column) -> Column:
 
 def resolve(messages: DataFrame, dictionary: DataFrame, decisions: DataFrame | None = None, rules=None, year: int = 2026) -> DataFrame:
     """(id, envelope_date, text) -> adds stream, pairs (null if unresolved), error and dropped phrases."""
-    m = messages.withColumn("_atoms", T.atoms(F.col("text"), T.year_of(F.col("envelope_date"), year)))
+    m = spread(messages.select("id", "envelope_date", "text")).select("id", F.inline(F.array(F.struct(T.atoms(F.col("text"), T.year_of(F.col("envelope_date"), year)).alias("_atoms")))))
     a = m.select("id", F.posexplode("_atoms").alias("pos", "a")).select("id", "pos", "a.kind", "a.value", F.col("a.text").alias("phrase"))
     labels = classify_phrases(a.where("kind = 'phrase'").select("phrase"), dictionary, decisions, rules)
     j = a.join(labels, "phrase", "left")
     item = F.when(F.col("kind") == "num", F.array(F.struct(F.lit("N").alias("k"), F.lit(None).cast("string").alias("l"), F.col("value").alias("n")))).otherwise(F.transform(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.struct(F.lit("L").alias("k"), x.alias("l"), F.lit(None).cast("long").alias("n"))))
     g = j.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("items")))), lambda x: x["items"])).alias("stream"), F.collect_set(F.when((F.col("kind") == "phrase") & (F.size(F.coalesce("labels", F.array().cast("array<string>"))) == 0), F.col("phrase"))).alias("dropped"))
     s = F.coalesce("stream", F.array().cast("array<struct<k:string,l:string,n:bigint>>"))
-    out = messages.join(g, "id", "left").withColumn("stream", s)
+    # generators keep the optimiser from copying the stream and the pairs into every place that reads them
+    out = messages.join(g, "id", "left").select(*[F.col(c) for c in messages.columns], "dropped", F.inline(F.array(F.struct(s.alias("stream")))))
     c = F.col("stream")
-    return out.withColumn("pairs", F.coalesce(pair_stream(c), without_trailing_label(c), carry_forward(c)).cast(PAIRS)).withColumn("error", F.when(F.col("pairs").isNull(), pair_error(c)))
+    pairs = F.coalesce(pair_stream(c), without_trailing_label(c), carry_forward(c)).cast(PAIRS)
+    out = out.select("*", F.inline(F.array(F.struct(pairs.alias("pairs"), pair_error(c).alias("error")))))
+    return out.withColumn("error", F.when(F.col("pairs").isNull(), F.col("error")))
 
 
 def template_pairs(messages: DataFrame, templates: DataFrame, fixes: DataFrame, repair_senders: list[str] | None = None, year: int = 2026) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import zones
 from tallyforge.functions.chars import fold, sender_key
+from tallyforge.session import spread
 
 MONTHS = {m: i // 2 + 1 for i, m in enumerate("jan january feb february mar march apr april may may jun june jul july aug august sep september oct october nov november dec december".split())} | {"sept": 9}
 DAYS = "mon monday tue tuesday wed wednesday thu thursday fri friday sat saturday sun sunday tues thur thurs".split()
@@ -220,7 +221,7 @@ def with_home_zone(rows: DataFrame, sender_zones: DataFrame) -> DataFrame:
 
 def normalise_moments(blocks: DataFrame, sender_zones: DataFrame, default_year: int = 2026, default_zone: str = "Asia/Kolkata") -> DataFrame:
     """(id, field, utc) of every envelope_date not yet dd/mm/yyyy and every moment stated in a text. Repeated rows come out once."""
-    b = blocks.select(F.col("id").cast("long").alias("id"), "sender", "envelope_date", "text")
+    b = spread(blocks.select(F.col("id").cast("long").alias("id"), "sender", "envelope_date", "text"))
     env = b.where(F.col("envelope_date").isNotNull() & (F.trim("envelope_date") != "") & ~(F.col("envelope_date").rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$") & (F.substring("envelope_date", 4, 2) <= "12"))).select("id", "sender", F.lit("envelope_date").alias("field"), F.col("envelope_date").alias("value"), F.lit(False).alias("inside"))
     txt = b.where(F.col("text").rlike(r"\p{Nd}{2}[\p{Nd}\p{Cf}\p{Mn}]*[^\p{L}\p{Nd}]|\p{Nd}{10}|\p{Nd}{2}$|\p{Nd}T")).select("id", "sender", F.lit("text").alias("field"), F.col("text").alias("value"), F.lit(True).alias("inside"))
     return moments(with_home_zone(env.unionByName(txt), sender_zones), default_year, default_zone).dropDuplicates()

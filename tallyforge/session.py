@@ -24,6 +24,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows spread over all cores before work that is heavy for its input; unchanged where the input has parts enough, as any large one does."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() into the cluster's shared folder; a local folder is set only where none is configured."""
     spark = df.sparkSession
