@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import spread
+
 #: How text is cut before merging; fixed by the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_STATES, MAX_PIECES, LONG_PIECE = 400_000, 400_000, 64
@@ -210,4 +212,4 @@ def encode_corpus(documents: DataFrame, path: str | None = None, key: str = "doc
         for b in batches:
             yield pd.Series([e.encode(x if isinstance(x, str) else None) for x in b])
 
-    return documents.select(F.col(key), ids(F.col(text)).alias("ids"))
+    return spread(documents.select(key, text)).select(F.col(key), ids(F.col(text)).alias("ids"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.chars import INVISIBLE, LOOKALIKES, SPACES, URDU
+from tallyforge.session import spread
 
 #: Kinds of compatibility decomposition that are another form of the same character.
 FORMS = ("<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
@@ -145,5 +146,5 @@ def with_one_form(rows: DataFrame, columns: list[str], suffix: str = "_form") ->
 def odd_fields(blocks: DataFrame) -> DataFrame:
     """(id, field) of every field that holds characters standing in for the plain ones."""
     fields = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("text", "sender")]))
-    rows = blocks.select(F.col("id").cast("long").alias("id"), fields).where(F.col("value").rlike(r"[^\x00-\x7f]"))
+    rows = spread(blocks.select("id", "text", "sender")).select(F.col("id").cast("long").alias("id"), fields).where(F.col("value").rlike(r"[^\x00-\x7f]"))
     return with_one_form(rows, ["value"]).where("value_form <> value").select("id", "field").distinct()

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.chars import py_key
+from tallyforge.session import spread
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +144,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 18, coverage: float
                 ids = b["doc_id"].to_numpy()
                 yield pd.DataFrame({"doc_id": [ids[d] for d, _ in got], "item_id": [i for _, i in got]}, dtype="int64")
 
-        return documents.where("doc_id is not null and text is not null and length(text) > 0").select("doc_id", "text").mapInPandas(find, "doc_id long, item_id long")
+        return spread(documents.select("doc_id", "text")).where("doc_id is not null and text is not null and length(text) > 0").mapInPandas(find, "doc_id long, item_id long")
 
     rows = items.where("text is not null and item_id is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.chars import fold
+from tallyforge.session import spread
 
 LEVELS = 3
 SLOTS = 1 << 15
@@ -101,7 +102,7 @@ def _adam(params: list[np.ndarray], grads, steps: int, rate: float) -> None:
             p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
 
 
-def fit_sentences(docs: list[list[tuple[list[str], list[float]]]], y: np.ndarray, steps: int = 120, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_sentences(docs: list[list[tuple[list[str], list[float]]]], y: np.ndarray, steps: int = 80, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     vocab: dict[str, int] = {}
     tokens, starts, forms, labels, weights = [], [], [], [], []
     for s, level in zip(docs, y):
@@ -135,7 +136,7 @@ def fit_sentences(docs: list[list[tuple[list[str], list[float]]]], y: np.ndarray
             gt[:, k] = np.bincount(own, gw[:, k], 2 * SLOTS) + np.bincount(grams, (gw[:, k] / n_grams)[g_owner], 2 * SLOTS)
         return gt + penalty * table, forms.T @ d + penalty * form
 
-    _adam([table, form], grads, steps, 0.05)
+    _adam([table, form], grads, steps, 0.08)
     return table, form
 
 
@@ -187,4 +188,4 @@ def reading_levels(documents: DataFrame, labels: DataFrame, bound: int = 4_000)
             q = np.array([p[i] for i in at]).reshape(-1, LEVELS)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[at], "level": q.argmax(axis=1) + 1, **{f"p{k + 1}": q[:, k] for k in range(LEVELS)}})
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(score, "doc_id long, level int, p1 double, p2 double, p3 double").dropDuplicates(["doc_id", "level"])
+    return spread(documents.select("doc_id", "text")).where("doc_id is not null and text is not null").mapInPandas(score, "doc_id long, level int, p1 double, p2 double, p3 double").dropDuplicates(["doc_id", "level"])

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.chars import ACCENTS, DIGITS, INVISIBLE, LOOKALIKES, MARKS, SPACES, URDU, WIDE
 from tallyforge.llm.tagger import Tagger, pad
+from tallyforge.session import spread
 
 KINDS = ["phone", "email", "id_number", "address", "name"]
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -173,7 +174,7 @@ def personal_spans(rows: DataFrame) -> DataFrame:
 
 def personal_information(blocks: DataFrame) -> DataFrame:
     """(id, field, kind, value) of every piece in text and sender. A sender's name is read once, however often it sends."""
-    b = blocks.select(F.col("id").cast("long").alias("id"), "sender", "text").where("id is not null")
+    b = spread(blocks.select(F.col("id").cast("long").alias("id"), "sender", "text")).where("id is not null")
     has = r"[\p{L}\p{N}]"
     texts = personal_spans(b.where(F.col("text").rlike(has)).select("id", F.lit("text").alias("field"), F.col("text").alias("value")))
     who = b.where(F.col("sender").rlike(has)).select("sender").distinct()
