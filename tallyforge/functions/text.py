@@ -38,6 +38,7 @@ COSMETIC = "ـ‌‍‎‏﻿"
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?[\s  ]*[ap]\.?m\.?"
 _CLOCK = r"(\d{1,2}:\d{2}(?::\d{2})?[\s  ]*[ap]\.?m\.?)"
 _DATE = r"(\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?)"
+# The two layouts of a header, and of a dated line without a sender.
 HEADERS = [rf"(?iud)^\s*\[?\s*{_CLOCK},\s*{_DATE}\]?\s*-?\s*([^:]+?):(.*)$", rf"(?iud)^\s*\[?\s*{_DATE},\s*{_CLOCK}\]?\s*-?\s*([^:]+?):(.*)$"]
 ENVELOPES = [rf"(?iud)^\s*\[?\s*{_CLOCK},\s*{_DATE}\]?\s*-?\s*\S", rf"(?iud)^\s*\[?\s*{_DATE},\s*{_CLOCK}\]?\s*-?\s*\S"]
 
@@ -144,7 +145,7 @@ def strip_date_triples(text: Column, ref: Column) -> Column:
 
 
 _S = r"\s*[./,=\-]+\s*"
-#: Dates and list markers, blanked in this order.
+# Dates and list markers, blanked in this order.
 DATE_PATTERNS = [
     rf"\d{{1,2}}{_S}\d{{1,2}}\s+20\d\d",
     rf"{BEGIN}\d{{3,4}}{_S}20\d\d{END}",
