@@ -20,6 +20,8 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "κ": "k", "χ": "x", "ɡ": "g", "ı": "i",
 }
+# what a capital looks like, its small letter stands for when text was put in lower case afterwards
+LOOKALIKES |= {k.lower(): v.lower() for k, v in LOOKALIKES.items() if k.lower() not in LOOKALIKES}
 # Arabic letters that Urdu writes with its own.
 URDU = {"ي": "ی", "ى": "ی", "ك": "ک", "ه": "ہ", "ة": "ہ"}
 #: Characters that are not seen at all.

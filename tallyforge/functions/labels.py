@@ -30,6 +30,12 @@ def plain_key(col: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: ~w.isin(HONORIFICS)), "")
 
 
+def reversed_key(col: Column) -> Column:
+    """As `plain_key`, words from last to first."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(fold_col(col)), r"[^\p{L}\p{M}]+", " ")), " ")
+    return F.array_join(F.reverse(F.filter(words, lambda w: ~w.isin(HONORIFICS))), "")
+
+
 def _keys(label: str) -> tuple[str, str]:
     """Python twins of `label_key` and `plain_key`, for the entries of a list."""
     words = [w for w in _NO_LETTER.sub(" ", py_key(label)).split() if w not in HONORIFICS]
@@ -43,11 +49,11 @@ def nearest_labels(labels: DataFrame, entries: list[tuple[str, str]], most: floa
     """
     if len(entries) > MAX_LIST:
         raise ValueError(f"{len(entries)} entries; at most {MAX_LIST} can be compared inside an expression")
-    k, p = F.col("_k"), F.col("_p")
+    k, p, q = F.col("_k"), F.col("_p"), F.col("_q")
     if not entries:
         return labels.select("label", label_key(F.col("label")).alias("canonical"))
     refs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(k).alias("k"), F.lit(p).alias("p")) for c, k, p in sorted({(c, *_keys(x)) for x, c in entries})])
-    best = F.array_min(F.transform(refs, lambda r: F.struct(F.least(F.levenshtein(k, r.k), F.levenshtein(p, r.p)).alias("d"), r.c.alias("c"))))
+    best = F.array_min(F.transform(refs, lambda r: F.struct(F.least(F.levenshtein(k, r.k), F.levenshtein(p, r.p), F.levenshtein(q, r.p)).alias("d"), r.c.alias("c"))))
     # the generator keeps the optimiser from copying the key expressions into the comparison with every entry
-    keyed = labels.select("label", F.inline(F.array(F.struct(label_key(F.col("label")).alias("_k"), plain_key(F.col("label")).alias("_p")))))
+    keyed = labels.select("label", F.inline(F.array(F.struct(label_key(F.col("label")).alias("_k"), plain_key(F.col("label")).alias("_p"), reversed_key(F.col("label")).alias("_q")))))
     return keyed.select("label", "_k", best.alias("_b")).select("label", F.when(F.col("_b.d") <= F.length("_k") * most, F.col("_b.c")).otherwise(k).alias("canonical"))

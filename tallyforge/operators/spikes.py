@@ -60,7 +60,9 @@ def spikes(facts: DataFrame, factor: float = 3.0, alpha: float = 0.05, least_oth
     # trend: running median of three period medians
     w = Window.partitionBy(*key).orderBy("period")
     periods = good.groupBy(*key, "period").agg(med("x").alias("m"))
-    near = F.array_sort(F.array_compact(F.array(F.lag("m").over(w), F.col("m"), F.lead("m").over(w))))
+    # the series' own median steadies periods of few rows, whose median an outlier may be
+    whole = F.percentile_approx("m", 0.5, 1000).over(Window.partitionBy(*key))
+    near = F.array_sort(F.array_compact(F.array(F.lag("m").over(w), F.col("m"), F.lead("m").over(w), whole)))
     trend = periods.select(*key, "period", F.element_at(near, F.ceil(F.size(near) / 2).cast("int")).alias("trend"))
     r1 = good.join(trend, [*key, "period"]).withColumn("r", F.col("x") - F.col("trend"))
     season = r1.groupBy(*key, "dow").agg(med("r").alias("m"), F.count("*").alias("c")).select(*key, "dow", F.when(F.col("c") >= 8, F.col("m")).otherwise(0.0).alias("season"))
