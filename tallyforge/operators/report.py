@@ -37,9 +37,23 @@ def ordered_labels(facts: DataFrame, order: DataFrame) -> list[str]:
     return [r.chant for r in first.join(o, "chant", "left").orderBy(F.col("ord").asc_nulls_last(), "f").select("chant").collect()]
 
 
+def column_names(labels: list[str], taken: tuple[str, ...] = ("date",)) -> list[str]:
+    """Labels as column names: one that equals an earlier name but for case gets a number, as such columns can be neither told apart nor written."""
+    seen, out = {x.lower() for x in taken}, []
+    for x in labels:
+        name, n = x, 1
+        while name.lower() in seen:
+            n += 1
+            name = f"{x} ({n})"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
 def daily_pivot(facts: DataFrame, labels: list[str]) -> DataFrame:
-    """date x label totals, zero where there is none."""
-    return usable(facts).where("date <> 'Unknown'").groupBy("date").pivot("chant", labels).agg(F.sum("count")).na.fill(0)
+    """date x label totals, zero where there is none; columns in the order of `labels`, named by column_names."""
+    p = usable(facts).where("date <> 'Unknown'").groupBy("date").pivot("chant", labels).agg(F.sum("count")).toDF("date", *[f"_{i}" for i in range(len(labels))])
+    return p.select("date", *[F.coalesce(f"_{i}", F.lit(0).cast("long")).alias(x) for i, x in enumerate(column_names(labels))])
 
 
 def wide_totals(facts: DataFrame, labels: list[str]) -> DataFrame:

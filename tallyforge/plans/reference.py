@@ -325,6 +325,13 @@ def daily_pivot(r):
     return p.select("date", *[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in _CHANTS])
 
 
+@query()
+def daily_pivot_all(r):
+    """Totals by date in a column for every label that has a fact: those of chant_list in its order, then the free spellings by first arrival; zero where there is none."""
+    e = r("extracted")
+    return report.daily_pivot(e.repartition("date"), report.ordered_labels(e, r("chant_list")))
+
+
 @query("""SELECT chant, count(*) AS n, min(count) AS least, max(count) AS greatest, count(DISTINCT count) AS kinds FROM extracted WHERE chant <> '' AND count IS NOT NULL GROUP BY 1""")
 def label_profile(r):
     """Number, least, greatest and distinct counts of each label."""

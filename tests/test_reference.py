@@ -126,6 +126,16 @@ def test_report_files(spark, tmp_path):
     assert not (tmp_path / "no").exists()
 
 
+def test_daily_pivot_all_has_every_label(spark, tmp_path):
+    rows = [(1, 1, "01/01", "B", 3), (1, 2, "01/01", "free b", 4), (2, 1, "02/01", "Free B", 5), (2, 2, "02/01", "date", 6), (2, 3, "02/01", "a.b `c`", 7), (3, 1, "Unknown", "A", 8), (3, 2, None, "B", 1)]
+    spark.createDataFrame(rows, "msg_id long, seq int, date string, chant string, count long").write.parquet(str(tmp_path / "extracted.parquet"))
+    spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "ord int, chant string").write.parquet(str(tmp_path / "chant_list.parquet"))
+    got = entry.queries()["daily_pivot_all"](spark, str(tmp_path))
+    assert got.columns == ["date", "A", "B", "free b", "Free B (2)", "date (2)", "a.b `c`"]
+    got.write.parquet(str(tmp_path / "out"))
+    assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).orderBy("date").collect()] == [("01/01", 0, 3, 4, 0, 0, 0), ("02/01", 0, 0, 0, 5, 6, 7)]
+
+
 def test_lines_and_log(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes(b"[4:48 am, 08/04/2026] A: one\r\n two\r[5:00 am, 08/04/2026] B: x\n")
     paths = readers.inbox(str(tmp_path))
