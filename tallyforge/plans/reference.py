@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import lexicon, messages, quality, report, resolve
+from tallyforge.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -274,6 +275,14 @@ def bag_differences(r):
     return quality.bag_difference(s, r("extracted").where("count >= 100").select("date", F.col("count").alias("value")), ["date", "value"])
 
 
+@query()
+def bag_differences_all(r):
+    """Bags of all numbers by date, in the texts (digits of any script) and in the facts; significant from the gate's threshold on. A null value stands for runs too large for a long: no fact can hold them, so each is missed."""
+    s = r("blocks").select(F.col("envelope_date").alias("date"), F.explode(T.digit_runs(F.col("text"))).alias("value"))
+    d = quality.bag_difference(s, r("extracted").where("count is not null").select("date", F.col("count").alias("value")), ["date", "value"])
+    return d.withColumn("significant", F.coalesce(F.col("value") >= readers.threshold(), F.lit(True)))
+
+
 @query()
 def reconcile_report(r):
     """Dates on which the facts differ from the numbers that the corrected texts report, with the gate's verdict."""

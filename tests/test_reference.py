@@ -114,6 +114,15 @@ def test_reconcile_and_flags(spark):
     assert got == {(2, "hard", "bad-role"), (2, "hard", "number-census"), (2, "hard", "count-shape"), (3, "hard", "uncertain"), (3, "soft", "year-like-count")}
 
 
+def test_bag_differences_all_compares_every_number(spark, tmp_path):
+    texts = [("d", "a 5 b 12 c 1234567890 d ١٢١ e 007 f 99999999999999999999"), ("d", "g 5"), ("e", "no number"), ("f", "h 300")]
+    spark.createDataFrame(texts, "envelope_date string, text string").write.parquet(str(tmp_path / "blocks.parquet"))
+    facts = [("d", 5), ("d", 1234567890), ("d", 121), ("d", 8), ("d", None), ("e", -4), ("f", 300)]
+    spark.createDataFrame(facts, "date string, count long").write.parquet(str(tmp_path / "extracted.parquet"))
+    got = {tuple(x) for x in entry.queries()["bag_differences_all"](spark, str(tmp_path)).collect()}
+    assert got == {("d", 5, 1, 0, False), ("d", 12, 1, 0, False), ("d", 7, 1, 0, False), ("d", 8, 0, 1, False), ("d", None, 1, 0, True), ("e", -4, 0, 1, False)}
+
+
 def test_report_files(spark, tmp_path):
     f = spark.createDataFrame([(1, 1, "02/01", "B", 3), (1, 2, "02/01", "A", 4), (2, 1, "01/01", "B", 5), (3, 1, "Unknown", "C", 6), (4, 1, "01/01", None, 6)], "msg_id long, seq int, date string, chant string, count long")
     order = spark.createDataFrame([("A", 1), ("B", 2), ("Z", 3)], "chant string, ord int")
