@@ -104,19 +104,27 @@ def aggregate(spark: SparkSession, a) -> int:
     return 0
 
 
+def _print(d: DataFrame, *order: str) -> None:
+    """Every row on standard output, in order, fields between tabs; rows stream through the driver."""
+    flat = lambda x: "" if x is None else str(x).replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n").replace("\r", "\\r")
+    print("\t".join(d.columns))
+    for r in d.orderBy(*order).toLocalIterator():
+        print("\t".join(map(flat, r)))
+
+
 def count_profile(spark: SparkSession, a) -> int:
     """Profile of a sender's counts."""
     facts = readers.read_json_array(spark, a.extracted, "date string, chant string, count long, msg_id long, seq int")
     f = report.filtered(facts, readers.read_jsonl(spark, a.blocks), a.sender, a.contains, a.chant)
-    for d in (report.profile(f, ["chant"]), report.digit_lengths(f, ["chant"]), report.most_common(f, ["chant"])):
-        d.show(50, False)
+    for d, by in ((report.profile(f, ["chant"]), []), (report.digit_lengths(f, ["chant"]), ["digits"]), (report.most_common(f, ["chant"]), ["rank"])):
+        _print(d, "chant", *by)
     return 0
 
 
 def classify_verify(spark: SparkSession, a) -> int:
     """Checks of labelled records; 1 if one is hard."""
     flags = quality.record_flags(readers.read_jsonl(spark, a.records, readers.RECORDS))
-    flags.orderBy("id", "code").show(1000, False)
+    _print(flags, "id", "code", "level", "message")
     return int(quality.has_hard(flags))
 
 

@@ -1,6 +1,7 @@
 """Reference operators on small fixtures, and every query with SQL against DuckDB over the smallest tables."""
 
 import glob
+import json
 import os
 from datetime import date
 
@@ -145,6 +146,23 @@ def test_daily_pivot_all_has_every_label(spark, tmp_path):
     assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).orderBy("date").collect()] == [("01/01", 0, 3, 4, 0, 0, 0), ("02/01", 0, 0, 0, 5, 6, 7)]
 
 
+def test_commands_print_every_row(spark, tmp_path, capsys):
+    from tallyforge import cli
+
+    (tmp_path / "r.jsonl").write_text("".join(json.dumps({"id": i, "text": f"a {i}\tb", "segments": [{"t": f"a {i}\tb", "role": "uncertain"}]}) + "\n" for i in range(1200)))
+    assert cli.main(["classify-verify", str(tmp_path / "r.jsonl")]) == 1
+    assert capsys.readouterr().out.splitlines() == ["id\tlevel\tcode\tmessage", *(f"{i}\thard\tuncertain\ta {i}\\tb" for i in range(1200))]
+    facts = [{"date": "01/01/2026", "chant": f"C{i:02}", "count": 10**k, "msg_id": 1, "seq": 1} for i in range(26) for k in range(7)]
+    (tmp_path / "e.json").write_text(json.dumps(facts))
+    (tmp_path / "b.jsonl").write_text(json.dumps({"id": 1, "envelope_date": "01/01/2026", "sender": "S", "text": "t"}) + "\n")
+    assert cli.main(["count-profile", str(tmp_path / "e.json"), str(tmp_path / "b.jsonl")]) == 0
+    out = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    at = [i for i, x in enumerate(out) if x[0] == "chant"] + [len(out)]
+    assert [b - a - 1 for a, b in zip(at, at[1:])] == [26, 26 * 7, 26 * 6]
+    assert out[at[1] + 1 : at[2]] == [[f"C{i:02}", str(k + 1), "1"] for i in range(26) for k in range(7)]
+    assert out[at[2] + 1 :] == [[f"C{i:02}", str(10**k), "1", str(k + 1)] for i in range(26) for k in range(6)]
+
+
 def test_lines_and_log(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes(b"[4:48 am, 08/04/2026] A: one\r\n two\r[5:00 am, 08/04/2026] B: x\n")
     paths = readers.inbox(str(tmp_path))
