@@ -55,14 +55,23 @@ MAX_MASKS = 50_000
 
 
 def mask(s: str) -> str:
-    """Shape of `s`: digit runs by length, month and day names, day halves and zones by class."""
+    """Shape of `s`: digit runs by length, month and day names, day halves and zones by class.
+
+    It holds all that the patterns of WHOLE look at, so that strings of one mask fit the same patterns: eight digits
+    that begin with 20, UTC and GMT apart from other zones, and whether a word begins with a capital, as regions do.
+    """
 
     def shape(m: re.Match) -> str:
         w = m[0]
         if w[0].isdigit():
-            return "9" * len(w) if len(w) < 15 else "9+"
+            return "20dddddd" if len(w) == 8 and w.startswith("20") else "9" * len(w) if len(w) < 15 else "9+"
         low = w.lower()
-        return "<mon>" if low in MONTHS else "<day>" if low in DAYS else "<half>" if low in ("am", "pm") else "<zone>" if w in zones.ABBREVIATIONS and w != "Z" else w if len(w) < 3 else "<w>"
+        if low in ("am", "pm"):
+            return "<half>"
+        if len(w) < 3:
+            return w
+        kind = "mon" if low in MONTHS else "day" if low in DAYS else w if w in ("UTC", "GMT") else "zone" if w in zones.ABBREVIATIONS else "w"
+        return f"<{kind.upper() if w[0].isupper() and kind.islower() else kind}>"
 
     return _WORD.sub(shape, s)
 
@@ -82,7 +91,7 @@ def _ints(g: list[dict], k: str, default: int = 0) -> np.ndarray:
 
 def _offset(s: str) -> int:
     t = s[1:].replace(":", "")
-    return (-1 if s[0] == "-" else 1) * (int(t[:2] if len(t) > 2 else t) * 60 + (int(t[2:]) if len(t) > 2 else 0)) * 60
+    return (-1 if s[0] == "-" else 1) * (int(t[:-2] if len(t) > 2 else t) * 60 + (int(t[-2:]) if len(t) > 2 else 0)) * 60
 
 
 def convert(parts: list[dict], homes: list[str | None], default_year: int, default_zone: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import zones
 from tallyforge.operators.packed import report_items, unpack
 from tallyforge.operators.spikes import esd_limit, implausible_counts, spikes
-from tallyforge.operators.timestamps import Reader, normalise_moments
+from tallyforge.operators.timestamps import WHOLE, Reader, mask, normalise_moments
 
 CASES = [
     ("2026-01-04T22:18:13Z", "2026-01-04T22:18:13Z"),
@@ -53,6 +53,29 @@ def test_notations():
     assert Reader().read([c for c, _ in MOMENTS], [None] * len(MOMENTS), True)[0] == [w for _, w in MOMENTS]
 
 
+@pytest.mark.parametrize(
+    "junk, good, want",
+    [
+        ("31122026", "20260105", "2026-01-05"), ("12345678", "20260105", "2026-01-05"), ("2026-01-05 10:00 asia/kolkata", "2026-01-05 10:00 Asia/Kolkata", "2026-01-05T04:30:00Z"),
+        ("2026-01-05 10:00 IST+5:30", "2026-01-05 10:00 UTC+5:30", "2026-01-05T04:30:00Z"), ("2026-01-05 10:00 Asia/may", "2026-01-05 10:00 Asia/May", "2026-01-05T04:30:00Z"),
+    ],
+)
+def test_an_unreadable_string_does_not_spoil_its_likes(junk, good, want):
+    assert Reader().read([junk, good], [None, None])[0] == [None, want]
+    assert Reader().read([good, junk], [None, None])[0] == [want, None]
+
+
+def test_strings_of_one_mask_fit_the_same_patterns():
+    r, fits = random.Random(1), {}
+    tokens = "1 12 2026 20260105 31122026 1772848645 1772848645000 05 Jan jan MAY sept Mon sunday am PM a p m T Z IST EST UTC GMT utc Asia asia Kolkata kolkata New York st th at on h T at".split()
+    starts = ["", "", "2026-01-05 10:00 ", "5/1/2026 10:00", "10:00 ", "5 Jan 2026", "Mon, ", "10:00 am IST "]
+    for _ in range(60_000):
+        s = r.choice(starts) + "".join(r.choice(tokens) + r.choice(["", "", " ", "-", "/", ":", ".", ", ", "+", "_"]) for _ in range(r.randint(1, 4)))
+        s = " ".join(s.split()) + r.choice(["", "", "]", ")"])
+        fit = tuple(i for i, p in enumerate(WHOLE) if p.fullmatch(s))
+        assert fits.setdefault(mask(s), (fit, s))[0] == fit, (s, fits[mask(s)])
+
+
 @pytest.mark.parametrize("zone", ["Europe/London", "America/New_York", "Australia/Sydney", "Asia/Dubai"])
 def test_zone_tables_agree_with_the_library(zone):
     import numpy as np
