@@ -1,8 +1,9 @@
 """Mixed timestamp notations and zones to one unambiguous form.
 
-Every string is reduced to a character-class shape mask; each distinct mask is mapped to a parser once and
-kept; all strings of one mask are then converted together, with numpy calendar arithmetic and zone transition
-tables. A mask that no notation fits is remembered as unreadable.
+Every string that is a date as a whole is reduced to a character-class shape mask; each distinct mask is mapped to
+a parser once and kept; a mask that no notation fits is remembered as unreadable. A moment inside a longer text is
+searched for with every notation instead, without masks; hits that are no possible moment are passed over. All
+strings of one notation are then converted together, with numpy calendar arithmetic and zone transition tables.
 
 Defined results: null, blank, unreadable and impossible values give no row; a date without a year takes
 `default_year`; the day comes before the month unless that is impossible; a time without a zone takes the
@@ -163,39 +164,42 @@ class Reader:
         """UTC strings (or plain dates) and written day numbers; None where there is none. inside: the moment stands in a longer text."""
         out: list[str | None] = [None] * len(values)
         written: list[int | None] = [None] * len(values)
-        groups: dict[re.Pattern, tuple[list[int], list[dict]]] = {}
-        for i, v in enumerate(values):
-            if not isinstance(v, str):
-                continue
-            s = fold(v)
-            if inside:
-                hit, p = self._inside(s)
-            elif len(s) > 80:
-                continue
-            else:
-                s = " ".join(s.split())
-                p = self._parser(s, mask(s))
-                hit = p and p.fullmatch(s)
-            if hit:
-                g = groups.setdefault(p, ([], []))
-                g[0].append(i)
-                g[1].append(hit.groupdict())
-        for at, parts in groups.values():
-            ok, timed, sec, day = convert(parts, [homes[i] for i in at], self.year, self.zone)
-            text = np.datetime_as_string(sec.astype("datetime64[s]"), unit="s")
-            for j, i in enumerate(at):
-                if ok[j]:
-                    out[i] = f"{text[j]}Z" if timed[j] else str(text[j][:10])
-                    written[i] = int(day[j])
+        todo = [(i, fold(v), 0) for i, v in enumerate(values) if isinstance(v, str)]
+        while todo:  # again only for texts whose first hit is an impossible moment
+            groups: dict[re.Pattern, tuple[list[int], list[dict], list[tuple[int, str, int]]]] = {}
+            for i, s, start in todo:
+                if inside:
+                    hit, p = self._inside(s, start)
+                elif len(s) > 80:
+                    continue
+                else:
+                    s = " ".join(s.split())
+                    p = self._parser(s, mask(s))
+                    hit = p and p.fullmatch(s)
+                if hit:
+                    g = groups.setdefault(p, ([], [], []))
+                    g[0].append(i)
+                    g[1].append(hit.groupdict())
+                    g[2].append((i, s, hit.start() + 1))
+            todo = []
+            for at, parts, rest in groups.values():
+                ok, timed, sec, day = convert(parts, [homes[i] for i in at], self.year, self.zone)
+                text = np.datetime_as_string(sec.astype("datetime64[s]"), unit="s")
+                for j, i in enumerate(at):
+                    if ok[j]:
+                        out[i] = f"{text[j]}Z" if timed[j] else str(text[j][:10])
+                        written[i] = int(day[j])
+                    elif inside:
+                        todo.append(rest[j])
         return out, written
 
-    def _inside(self, s: str) -> tuple[re.Match | None, re.Pattern | None]:
-        """The first readable moment; where two notations begin at one place, the longer."""
+    def _inside(self, s: str, start: int = 0) -> tuple[re.Match | None, re.Pattern | None]:
+        """The first moment from `start` on that fits a notation; where two begin at one place, the longer."""
         best: tuple[re.Match | None, re.Pattern | None] = (None, None)
-        if not _MAYBE.search(s):
+        if not _MAYBE.search(s, start):
             return best
         for p in INSIDE:
-            m = p.search(s)
+            m = p.search(s, start)
             if m and (best[0] is None or (m.start(), -m.end()) < (best[0].start(), -best[0].end())):
                 best = m, p
         return best

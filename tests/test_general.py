@@ -65,6 +65,11 @@ def test_an_unreadable_string_does_not_spoil_its_likes(junk, good, want):
     assert Reader().read([good, junk], [None, None])[0] == [want, None]
 
 
+def test_an_impossible_moment_in_a_text_is_passed_over():
+    texts = ["from 31/02/2026 10:00 to 5/1/2026 10:30 IST", "x 2026-13-45 10:00, 30/02/2026 11:00, then [6:10 p.m., 25/05/2026] end", "25:10 05/01/2026 and 31/02/2026 10:00", "31/02/2026 10:00 05/03/2026"]
+    assert Reader().read(texts, [None] * 4, True)[0] == ["2026-01-05T05:00:00Z", "2026-05-25T12:40:00Z", None, "2026-03-05T04:30:00Z"]
+
+
 def test_strings_of_one_mask_fit_the_same_patterns():
     r, fits = random.Random(1), {}
     tokens = "1 12 2026 20260105 31122026 1772848645 1772848645000 05 Jan jan MAY sept Mon sunday am PM a p m T Z IST EST UTC GMT utc Asia asia Kolkata kolkata New York st th at on h T at".split()
