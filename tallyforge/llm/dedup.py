@@ -12,7 +12,8 @@ only copies share. Equal texts are one record. `RepeatIndex` keeps the segments
 for batches that come one at a time; `repeats` runs all batches of a table in order.
 
 Defined results: blocks with a null or blank sender or text, or without a readable date, never repeat and are never
-repeated; repeats within one batch are new; ties go to the smallest id; repeated rows come out once.
+repeated; repeats within one batch are new; ties go to the smallest id; repeated rows come out once; a copy cut
+short before its first number is no repeat.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tallyforge.session import cut_lineage
 #: Bytes of a suffix that are kept in order beyond the key, and the least bytes of a match.
 DEPTH, LEAST = 24, 8
 PAD = b"\n" * DEPTH
-SCHEMA = "id long, first_id long"
+SCHEMA = "id long, first_id long, src long"
 
 
 class Segment:
@@ -148,15 +149,21 @@ class History:
             self.segments[-1] = self.segments[-1].merged(b)
 
 
-def _run(history: History, full: dict[int, int], pdf: pd.DataFrame, share: float) -> list[tuple[int, int]]:
-    """Batches of one bucket in order: look up, then add. full: the own key of every record."""
+def _run(history: History, full: dict[int, int], pdf: pd.DataFrame, share: float) -> list[tuple[int, int, int]]:
+    """(id, first_id, batch); batches of one bucket in order: look up, then add, but for rows marked `again`. full: the own key of every record."""
     found = []
-    for _, b in pdf.groupby("src", sort=True):
+    for src, b in pdf.groupby("src", sort=True):
         texts = [t.encode("utf-8", "replace") for t in b["ftext"]]
         rows = list(zip(b["id"], b["key"], texts, b["own"]))
         for i, k, t, own in rows:
             if own and history.segments and (first := history.earliest(k, t, own, share, full)) is not None:
-                found.append((i, first))
+                found.append((i, first, src))
+        if "again" in b:
+            b = b[~b["again"].to_numpy(bool)]
+            if b.empty:
+                continue
+            texts = [t.encode("utf-8", "replace") for t in b["ftext"]]
+            rows = list(zip(b["id"], b["key"], texts, b["own"]))
         full.update((int(i), int(k)) for i, k, _, own in rows if own)
         history.add(Segment(b["id"].to_numpy(np.int64), b["key"].to_numpy(np.int64), texts))
     return found
@@ -207,13 +214,19 @@ def repeats(blocks: DataFrame, share: float = 0.75, per_bucket: int = 20_000) ->
     # an entry that has its key to itself can match nothing; only shared keys go on
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = entries.join(shared, "key").select("bucket", "id", "src", "ftext", "key", "own")
+    # a text that comes again in a later batch is looked up once more there, as by then its own batch's other records are accepted
+    reps = groups.withColumnRenamed("id", "rep").withColumnRenamed("src", "rep_src")
+    later = rows.join(reps, same).where("src > rep_src").groupBy("rep").agg(F.min("src").alias("src")).withColumnRenamed("rep", "id")
+    again = entries.where("own").drop("src").join(later, "id").select("bucket", "id", "src", "ftext", "key", "own", F.lit(True).alias("again"))
+    entries = entries.withColumn("again", F.lit(False)).unionByName(again)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(History(), {}, pdf, share), columns=["id", "first_id"], dtype="int64")
+        return pd.DataFrame(_run(History(), {}, pdf, share), columns=["id", "first_id", "src"], dtype="int64")
 
     best = entries.groupBy("bucket").applyInPandas(run, SCHEMA)
-    known = groups.withColumnRenamed("id", "rep").withColumnRenamed("src", "rep_src").join(best.withColumnRenamed("id", "rep"), "rep", "left")
-    out = rows.join(known, same).where((F.col("src") > F.col("rep_src")) | F.col("first_id").isNotNull())
+    best = best.join(reps.select(F.col("rep").alias("id"), "rep_src"), "id").groupBy(F.col("id").alias("rep")).agg(F.min(F.when(F.col("src") == F.col("rep_src"), F.col("first_id"))).alias("first"), F.min("first_id").alias("first_later"))
+    out = rows.join(reps.join(best, "rep", "left"), same).withColumn("first_id", F.when(F.col("src") > F.col("rep_src"), F.col("first_later")).otherwise(F.col("first")))
+    out = out.where((F.col("src") > F.col("rep_src")) | F.col("first_id").isNotNull())
     return out.select(F.coalesce("first_id", "rep").alias("first_id"), "id").where("first_id < id").distinct()
 
 
@@ -254,7 +267,7 @@ class RepeatIndex:
                 segments.append((Segment(z["ids"], z["keys"], texts, (z["suffix"], z["owner"], z["at"]))))
             h = History(segments)
             found = _run(h, full, new, share) if len(new) else []
-            out = [(key[0], "match", a, b.to_bytes(8, "big", signed=True)) for a, b in ((int(i), int(f)) for i, f in found)]
+            out = [(key[0], "match", a, b.to_bytes(8, "big", signed=True)) for a, b in ((int(i), int(f)) for i, f, _ in found)]
             for s in h.segments:
                 own = [(i, full[int(i)]) for i in s.ids.tolist() if int(i) in full]
                 f = io.BytesIO()

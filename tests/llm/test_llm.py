@@ -32,6 +32,14 @@ def test_repeats(blocks_of):
     assert dedup.repeats(b.limit(0)).count() == 0
 
 
+def test_a_text_again_repeats_what_came_in_its_first_batch(blocks_of):
+    h = "dinank 5/1/2026 neelam mala 4331 baar parbat paath 6811 martba"
+    g = h + " (edited)"
+    rows = [(5, "05/01/2026", "A", h, 0), (9, "05/01/2026", "A", g, 0), (11, "05/01/2026", "A", g, 1), (12, "05/01/2026", "A", g, 3), (13, "05/01/2026", "B", g, 0), (14, "05/01/2026", "B", g, 2)]
+    assert {tuple(r) for r in dedup.repeats(blocks_of(rows)).collect()} == {(5, 11), (5, 12), (13, 14)}
+    assert {tuple(r) for r in dedup.repeats(blocks_of([*rows, (1, "05/01/2026", "A", h, -1)])).collect()} == {(1, 5), (1, 9), (1, 11), (1, 12), (13, 14)}
+
+
 def test_index_takes_batches_one_at_a_time(spark, blocks_of, tmp_path):
     t = ["register 1 sabah mala 500 bar", "register 2 neelam mala 70 bar darya jaap 80 bar"]
     index = dedup.RepeatIndex(spark, str(tmp_path), buckets=4)
