@@ -242,7 +242,7 @@ def paired_streams(r):
 
 @query()
 def resolved_facts(r):
-    """The whole cascade: blocks to facts, with exclusions, corrections and the dictionary of known spellings."""
+    """The cascade without its templates, known duplicates, phrase decisions and compositional rules, for which the tables have no store: blocks to facts, with exclusions of no-reports, corrections and the dictionary of known spellings."""
     return _built(r)[0]
 
 
