@@ -1,9 +1,11 @@
 """Mixed timestamp notations and zones to one unambiguous form.
 
-Every string that is a date as a whole is reduced to a character-class shape mask; each distinct mask is mapped to
-a parser once and kept; a mask that no notation fits is remembered as unreadable. A moment inside a longer text is
-searched for with every notation instead, without masks; hits that are no possible moment are passed over. All
-strings of one notation are then converted together, with numpy calendar arithmetic and zone transition tables.
+Every string is reduced to a character-class shape mask; each distinct mask is mapped to a parser once and kept. A
+string that is a date as a whole is masked as a whole. In a longer text the spans made of nothing but numbers, month, day
+and zone names and what stands between them are masked, with a character before and a word after; a span's mask is mapped to the
+notations that it holds, and hits that are no possible moment are passed over. A mask holds all that the patterns look
+at, so what a mask is mapped to does not depend on the string that showed it first. All strings of one notation are then
+converted together, with numpy calendar arithmetic and zone transition tables of one release (`zones.VERSION`).
 
 Defined results: null, blank, unreadable and impossible values give no row; a date without a year takes
 `default_year`; the day comes before the month unless that is impossible; a time without a zone takes the
@@ -53,13 +55,18 @@ INSIDE = [re.compile(rf"(?<![\w+/.:-])(?:{p})(?![\d:]|[.,/-]\d)") for p in [*DAT
 _WORD = re.compile(r"[A-Za-z]+|\d+")
 #: Bounds what a worker remembers; beyond it the memory starts afresh.
 MAX_MASKS = 50_000
+#: Masks longer than this are not remembered, only worked out.
+LONG_MASK = 300
+#: Parts into which a sender's rows are spread for the join with its zone.
+SALTS = 16
 
 
 def mask(s: str) -> str:
     """Shape of `s`: digit runs by length, month and day names, day halves and zones by class.
 
-    It holds all that the patterns of WHOLE look at, so that strings of one mask fit the same patterns: eight digits
-    that begin with 20, UTC and GMT apart from other zones, and whether a word begins with a capital, as regions do.
+    It holds all that the patterns look at, so that strings of one mask fit the same patterns at the same tokens: eight digits
+    that begin with 20, UTC and GMT apart from other zones, the words before a count of seconds, and whether a word begins
+    with a capital, as regions do.
     """
 
     def shape(m: re.Match) -> str:
@@ -68,8 +75,8 @@ def mask(s: str) -> str:
             return "20dddddd" if len(w) == 8 and w.startswith("20") else "9" * len(w) if len(w) < 15 else "9+"
         low = w.lower()
         if low in ("am", "pm"):
-            return "<half>"
-        if len(w) < 3:
+            return "<half>" if w[0].islower() else "<HALF>"
+        if len(w) < 3 or w in ("epoch", "unix", "timestamp"):
             return w
         kind = "mon" if low in MONTHS else "day" if low in DAYS else w if w in ("UTC", "GMT") else "zone" if w in zones.ABBREVIATIONS else "w"
         return f"<{kind.upper() if w[0].isupper() and kind.islower() else kind}>"
@@ -112,7 +119,7 @@ def convert(parts: list[dict], homes: list[str | None], default_year: int, defau
                 wall[at] = v[at] + t[1][np.searchsorted(utc_at, v[at], side="right")]
         return np.ones(n, bool), np.ones(n, bool), v, wall // 86400
     y = _ints(parts, "y", default_year)
-    y = np.where(y < 100, y + 2000, y)
+    y = np.where(np.array([len(x.get("y") or "") == 2 for x in parts]), y + 2000, y)
     if "a" in first:
         a, b = _ints(parts, "a"), _ints(parts, "b")
         swap = (b > 12) & (a <= 12)
@@ -122,7 +129,7 @@ def convert(parts: list[dict], homes: list[str | None], default_year: int, defau
         m = np.array([MONTHS[x["mon"].lower()] for x in parts], dtype=np.int64) if "mon" in first else _ints(parts, "m")
     leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
     last = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(m, 1, 12) - 1] + (leap & (m == 2))
-    ok = (m >= 1) & (m <= 12) & (d >= 1) & (d <= last)
+    ok = (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= last)
     day = days(y, m, d)
     if "h" not in first:
         return ok, np.zeros(n, bool), day * 86400, day
@@ -151,15 +158,33 @@ class Reader:
     """Maps masks to parsers, once each, and converts many strings at a time."""
 
     def __init__(self, default_year: int = 2026, default_zone: str = "Asia/Kolkata"):
-        self.year, self.zone, self.whole = default_year, default_zone, {}
+        self.year, self.zone = default_year, default_zone
+        #: Mask of a whole string -> its pattern or None; mask of a span -> the patterns that it holds.
+        self.whole: dict[str, re.Pattern | None] = {}
+        self.held: dict[str, list[re.Pattern]] = {}
 
-    def _parser(self, s: str, shape: str) -> re.Pattern | None:
+    def _parser(self, s: str) -> re.Pattern | None:
+        shape = mask(s)
         if shape not in self.whole:
+            found = next((p for p in WHOLE if p.fullmatch(s)), None)
+            if len(shape) > LONG_MASK:
+                return found
             if len(self.whole) >= MAX_MASKS:
                 self.whole.clear()
-            self.whole[shape] = next((p for p in WHOLE if p.fullmatch(s)), None)
+            self.whole[shape] = found
         return self.whole[shape]
 
+    def _holds(self, span: str, lead: int) -> list[re.Pattern]:
+        """Patterns that a span holds; its first `lead` characters stand before it."""
+        shape = f"{lead}{mask(span)}"
+        if (found := self.held.get(shape)) is None:
+            found = [p for p in INSIDE if p.search(span, lead)]
+            if len(shape) <= LONG_MASK:
+                if len(self.held) >= MAX_MASKS:
+                    self.held.clear()
+                self.held[shape] = found
+        return found
+
     def read(self, values: list[str | None], homes: list[str | None], inside: bool = False) -> tuple[list[str | None], list[int | None]]:
         """UTC strings (or plain dates) and written day numbers; None where there is none. inside: the moment stands in a longer text."""
         out: list[str | None] = [None] * len(values)
@@ -169,18 +194,16 @@ class Reader:
             groups: dict[re.Pattern, tuple[list[int], list[dict], list[tuple[int, str, int]]]] = {}
             for i, s, start in todo:
                 if inside:
-                    hit, p = self._inside(s, start)
-                elif len(s) > 80:
-                    continue
+                    hit, p, begin = self._inside(s, start)
                 else:
                     s = " ".join(s.split())
-                    p = self._parser(s, mask(s))
-                    hit = p and p.fullmatch(s)
+                    p = self._parser(s)
+                    hit, begin = p and p.fullmatch(s), 0
                 if hit:
                     g = groups.setdefault(p, ([], [], []))
                     g[0].append(i)
                     g[1].append(hit.groupdict())
-                    g[2].append((i, s, hit.start() + 1))
+                    g[2].append((i, s, begin + 1))
             todo = []
             for at, parts, rest in groups.values():
                 ok, timed, sec, day = convert(parts, [homes[i] for i in at], self.year, self.zone)
@@ -193,25 +216,44 @@ class Reader:
                         todo.append(rest[j])
         return out, written
 
-    def _inside(self, s: str, start: int = 0) -> tuple[re.Match | None, re.Pattern | None]:
-        """The first moment from `start` on that fits a notation; where two begin at one place, the longer."""
-        best: tuple[re.Match | None, re.Pattern | None] = (None, None)
+    def _inside(self, s: str, start: int = 0) -> tuple[re.Match | None, re.Pattern | None, int]:
+        """The first moment from `start` on that fits a notation, and where it begins; where two begin at one place, the longer."""
         if not _MAYBE.search(s, start):
-            return best
-        for p in INSIDE:
-            m = p.search(s, start)
-            if m and (best[0] is None or (m.start(), -m.end()) < (best[0].start(), -best[0].end())):
-                best = m, p
-        return best
+            return None, None, 0
+        for m in SPAN.finditer(s):
+            if m.end() <= start or not _MAYBE.search(m[0]):
+                continue
+            off, lead = max(0, m.start() - 1), min(1, m.start())
+            span = s[off : TAIL.match(s, m.end()).end()]
+            best: tuple[re.Match | None, re.Pattern | None] = (None, None)
+            for p in self._holds(span, lead):
+                h = p.search(span, max(lead, start - off))
+                if h and (best[0] is None or (h.start(), -h.end()) < (best[0].start(), -best[0].end())):
+                    best = h, p
+            if best[0]:
+                return *best, off + best[0].start()
+        return None, None, 0
 
 
 _MAYBE = re.compile(r"\d[:.h]\d\d|\d{10}")
+TAIL = re.compile(r"[A-Za-z]*.?", re.DOTALL)
+#: What a moment is made of: numbers, names of months, days and zones, and what stands between them.
+SPAN = re.compile(
+    rf"(?:{_REGION}|\d+(?:(?:st|nd|rd|th|h|T|Z|[APap]\.?[Mm]|UTC|GMT|{_ABBR})(?![A-Za-z]))?|[\s.,:/+@()\[\]=-]"
+    rf"|(?<![A-Za-z])(?:(?i:{_DOW}|{_MON})|UTC|GMT|Z|{_ABBR}|[APap]\.?[Mm]|at|on|ts|ms|t|epoch|unix|timestamp)(?![A-Za-z]))+"
+)
 
 
 def moments(rows: DataFrame, default_year: int = 2026, default_zone: str = "Asia/Kolkata") -> DataFrame:
-    """(id, field, value, inside, home_zone) -> (id, field, utc): one row for each readable value."""
+    """(id, field, value, inside, home_zone) -> (id, field, utc): one row for each readable value.
+
+    All processes must have the same release of the zone database; a differing one is an error, not a differing result.
+    """
+    release = zones.VERSION
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if zones.VERSION != release:
+            raise RuntimeError(f"zone database {zones.VERSION} here, {release} on the driver")
         reader = Reader(default_year, default_zone)
         for b in batches:
             homes = [h if isinstance(h, str) else None for h in b["home_zone"]]
@@ -226,10 +268,11 @@ def moments(rows: DataFrame, default_year: int = 2026, default_zone: str = "Asia
     return rows.mapInPandas(run, "id long, field string, utc string")
 
 
-def with_home_zone(rows: DataFrame, sender_zones: DataFrame) -> DataFrame:
-    """Adds home_zone by the sender's folded name. The zone table grows with the data, so the planner picks the join; it is not forced to be broadcast."""
+def with_home_zone(rows: DataFrame, sender_zones: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Adds home_zone by the sender's folded name. The zone table grows with the data, so the planner picks the join; a sender's rows are spread by id over `salts` copies of its zone."""
     z = sender_zones.select(sender_key(F.col("sender")).alias("_zk"), F.col("home_zone").alias("_hz")).where("_zk <> '' and _hz is not null").groupBy("_zk").agg(F.min("_hz").alias("home_zone"))
-    return rows.withColumn("_zk", sender_key(F.col("sender"))).join(z, "_zk", "left").drop("_zk")
+    z = z.select("_zk", "home_zone", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_zs"))
+    return rows.withColumn("_zk", sender_key(F.col("sender"))).withColumn("_zs", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(z, ["_zk", "_zs"], "left").drop("_zk", "_zs")
 
 
 def normalise_moments(blocks: DataFrame, sender_zones: DataFrame, default_year: int = 2026, default_zone: str = "Asia/Kolkata") -> DataFrame:

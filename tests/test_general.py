@@ -166,3 +166,41 @@ def test_counts_by_sender(spark, blocks_of):
     lst = spark.createDataFrame([(1, "SABAH MALA")], "ord int, chant string")
     var = spark.createDataFrame([("सबाह माला", "SABAH MALA")], "key string, canonical string")
     assert {(r.msg_id, r.seq) for r in implausible_counts(e.withColumn("label", F.lit(1)), b, lst, var).collect()} == {(5, 2)}
+
+
+def test_spans_hold_what_whole_texts_do():
+    """Moments found by the masks of spans are those that every notation, tried on the whole text, finds; whatever came before."""
+    import random
+
+    from tallyforge.operators import timestamps as ts
+
+    rnd, reader = random.Random(3), ts.Reader()
+    parts = "12 03 2026 26 10:30 9.45 7h15 am PM p.m. at on T @ , . / - : + IST UTC GMT +05:30 Asia/Kolkata Foo/Bar foo March may sept Monday tue st nd th ( ) [ ] x ké क ts= epoch 1768000000 1768000000123 Z ZZ 12/03/2026 2026-03-12 \n".split(" ")
+
+    def whole(s):
+        hits = [(m.start(), -m.end(), i, m) for i, p in enumerate(ts.INSIDE) if (m := p.search(s))]
+        return min(hits, key=lambda h: h[:3])[3] if hits and ts._MAYBE.search(s) else None
+
+    for _ in range(20_000):
+        s = "".join(rnd.choice(parts) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(2, 9)))
+        a, (b, _, begin) = whole(s), reader._inside(s)
+        assert (a and (a.start(), a.groupdict())) == (b and (begin, b.groupdict())), s
+
+
+def test_envelope_values_in_any_order_and_of_any_length():
+    from tallyforge.operators.timestamps import Reader
+
+    values = ["12/03/2026 10:00 foo/bar", "12/03/2026 10:00 Asia/Tokyo", " " * 200 + "12 March 2026 10:00", "31122026", "20260105", "2050-07-01 12:00 Europe/London", "1850-01-01 00:00 UTC", "0000-01-01 10:00"]
+    want = [None, "2026-03-12T01:00:00Z", "2026-03-12T04:30:00Z", None, "2026-01-05", "2050-07-01T11:00:00Z", "1850-01-01T00:00:00Z", None]
+    for turn in (1, -1):
+        assert Reader().read(values[::turn], [None] * len(values))[0][::turn] == want
+
+
+def test_placeholders_of_last_resort(spark):
+    """A text that holds all the private pairs, and runs of them, still comes apart and together rightly."""
+    from tallyforge.operators.packed import PRIVATE, unpack
+
+    private = "".join(x for p in PRIVATE for x in p)
+    text = f'a{private};"x;{PRIVATE[0][0] * 3}"{PRIVATE[0][0]};b "p,q""r" c'
+    got = [r.piece for r in unpack(spark.createDataFrame([(text,)], "text string")).orderBy("pos").collect()]
+    assert got == [f"a{private}", f'"x;{PRIVATE[0][0] * 3}"{PRIVATE[0][0]}', 'b "p,q""r" c']
