@@ -14,8 +14,8 @@ from tallyforge.functions.chars import fold_col, py_key
 # Courtesy words that may stand before or after a label and carry no meaning.
 HONORIFICS = ["ji", "pak", "mubarak", "shareef", "sharif", "shri", "e", "ye", "जी", "पाक", "शरीफ", "मुबारक", "श्री", "جی", "پاک", "شریف", "مبارک", "شری"]
 _NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
-#: Largest reference list that may be carried inside an expression.
-MAX_LIST = 2_000
+#: Entries of a reference list that one expression compares.
+SHARD = 1_000
 
 
 def label_key(col: Column) -> Column:
@@ -45,15 +45,15 @@ def _keys(label: str) -> tuple[str, str]:
 def nearest_labels(labels: DataFrame, entries: list[tuple[str, str]], most: float = 0.34) -> DataFrame:
     """distinct (label) -> (label, canonical): the entry at least edit distance, if within `most` of the key's length, else the key itself.
 
-    `entries` are (spelling, canonical) of a fixed, small list, at most MAX_LIST; they are compared inside an expression.
+    `entries` are (spelling, canonical) of a reference list; they are compared inside expressions, SHARD at a time.
     """
-    if len(entries) > MAX_LIST:
-        raise ValueError(f"{len(entries)} entries; at most {MAX_LIST} can be compared inside an expression")
     k, p, q = F.col("_k"), F.col("_p"), F.col("_q")
     if not entries:
         return labels.select("label", label_key(F.col("label")).alias("canonical"))
-    refs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(k).alias("k"), F.lit(p).alias("p")) for c, k, p in sorted({(c, *_keys(x)) for x, c in entries})])
-    best = F.array_min(F.transform(refs, lambda r: F.struct(F.least(F.levenshtein(k, r.k), F.levenshtein(p, r.p), F.levenshtein(q, r.p)).alias("d"), r.c.alias("c"))))
+    refs = [F.struct(F.lit(c).alias("c"), F.lit(k).alias("k"), F.lit(p).alias("p")) for c, k, p in sorted({(c, *_keys(x)) for x, c in entries})]
+    best = lambda some: F.array_min(F.transform(F.array(*some), lambda r: F.struct(F.least(F.levenshtein(k, r.k), F.levenshtein(p, r.p), F.levenshtein(q, r.p)).alias("d"), r.c.alias("c"))))
     # the generator keeps the optimiser from copying the key expressions into the comparison with every entry
-    keyed = labels.select("label", F.inline(F.array(F.struct(label_key(F.col("label")).alias("_k"), plain_key(F.col("label")).alias("_p"), reversed_key(F.col("label")).alias("_q")))))
-    return keyed.select("label", "_k", best.alias("_b")).select("label", F.when(F.col("_b.d") <= F.length("_k") * most, F.col("_b.c")).otherwise(k).alias("canonical"))
+    d = labels.select("label", F.inline(F.array(F.struct(label_key(F.col("label")).alias("_k"), plain_key(F.col("label")).alias("_p"), reversed_key(F.col("label")).alias("_q")))))
+    bests = F.array(*[best(refs[i : i + SHARD]) for i in range(0, len(refs), SHARD)])
+    d = d.select("label", "_k", F.array_min(bests).alias("_b"))
+    return d.select("label", F.when(F.col("_b.d") <= F.length("_k") * most, F.col("_b.c")).otherwise(k).alias("canonical"))

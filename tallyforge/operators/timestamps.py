@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import zones
@@ -268,6 +268,20 @@ def moments(rows: DataFrame, default_year: int = 2026, default_zone: str = "Asia
     return rows.mapInPandas(run, "id long, field string, utc string")
 
 
+def written_day(col: Column) -> Column:
+    """Days since 1970-01-01 of the calendar date as written, in whatever notation; null if unreadable. dd/mm/yyyy stays in the JVM."""
+
+    @F.pandas_udf("int")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader()
+        for b in batches:
+            v = [x if isinstance(x, str) else None for x in b]
+            yield pd.Series(pd.array(reader.read(v, [None] * len(v))[1], dtype="Int32"))
+
+    plain = col.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$") & (F.substring(col, 4, 2) <= "12")
+    return F.when(plain, F.datediff(F.try_to_timestamp(col, F.lit("dd/MM/yyyy")).cast("date"), F.lit("1970-01-01"))).otherwise(read(F.when(~plain, col)))
+
+
 def with_home_zone(rows: DataFrame, sender_zones: DataFrame, salts: int = SALTS) -> DataFrame:
     """Adds home_zone by the sender's folded name. The zone table grows with the data, so the planner picks the join; a sender's rows are spread by id over `salts` copies of its zone."""
     z = sender_zones.select(sender_key(F.col("sender")).alias("_zk"), F.col("home_zone").alias("_hz")).where("_zk <> '' and _hz is not null").groupBy("_zk").agg(F.min("_hz").alias("home_zone"))
