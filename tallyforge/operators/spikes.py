@@ -155,15 +155,17 @@ def spikes(facts: DataFrame, factor: float = 3.0, alpha: float = 0.05, least_oth
     """
     key = ["source", "label"]
     here = [*key, "chunk"]
-    f = facts.where("source <> '' and value is not null and row is not null").select(*key, "row", "part", "value", "day", F.floor(F.col("row") / chunk).alias("chunk"))
-    f = f.repartition(*here)
-    w = Window.partitionBy(*here).orderBy("row", "part")
+    f = facts.where("source <> '' and value is not null and row is not null")
+    slot = F.coalesce(F.floor(F.datediff("day", F.lit("1970-01-01")) / PERIOD), F.lit(-1_000_000)) * 8 + F.coalesce(F.dayofweek("day"), F.lit(0))
+    f = f.select(*key, "row", "part", "value", slot.alias("slot"), F.floor(F.col("row") / chunk).alias("chunk")).repartition(*here)
+    # cells, pieces and rows below all read this one window with all its columns, so that they share one exchange
+    w = Window.partitionBy(*here).orderBy("row", "part", "slot")
     c = f.withColumn("new", F.coalesce((F.col("value") != F.lag("value").over(w)).cast("int"), F.lit(1))).withColumn("piece", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
     # cells of a series, counted first within its chunks, then over them
     x = F.floor(F.ln(F.col("value").cast("double")) * CELLS)
     grid = [*key, "period", "dow", "q"]
-    cell = c.withColumns({"period": F.coalesce(F.floor(F.datediff("day", F.lit("1970-01-01")) / PERIOD), F.lit(-1_000_000)), "dow": F.coalesce(F.dayofweek("day"), F.lit(0)), "q": F.when(F.col("value") >= least, x)})
-    cell = cell.groupBy(*grid).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.collect_set("chunk").alias("chunks"))
+    cell = c.withColumns({"period": F.floor(F.col("slot") / 8), "dow": F.pmod("slot", F.lit(8)), "q": F.when(F.col("value") >= least, x)})
+    cell = cell.groupBy(*grid).agg(F.count("piece").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.collect_set("chunk").alias("chunks"))
     shape = F.when(F.col("q").isNotNull(), F.struct(F.col("period"), F.col("dow"), F.col("n"), F.col("lo"), F.col("hi")))
     series = cell.groupBy(*key).agg(F.collect_list(shape).alias("cells"), F.array_distinct(F.flatten(F.collect_list("chunks"))).alias("chunks"))
     habit = habits(series, key, alpha)
@@ -197,15 +199,15 @@ def implausible_counts(extracted: DataFrame, blocks: DataFrame, chant_list: Data
     A row's day is its envelope_date in whatever notation, else the day of its batch. A repeated block id counts once.
     """
     day = F.coalesce(F.date_add(F.lit("1970-01-01").cast("date"), written_day(F.col("envelope_date"))), F.to_date("ingested_at"))
-    b = spread(blocks.select("id", "sender", "envelope_date", "ingested_at")).select(F.col("id").alias("row"), sender_key(F.col("sender")).alias("source"), day.alias("day")).where("source <> '' and row is not null")
-    b = b.groupBy("row").agg(F.min("source").alias("source"), F.min("day").alias("day"))
-    busy = b.groupBy("source").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_messages).select("source")
+    b = spread(blocks.select("id", "sender", "envelope_date", "ingested_at")).select(F.col("id").alias("row"), sender_key(F.col("sender")).alias("source"), day.alias("day")).where("row is not null")
+    b = b.groupBy("row").agg(F.min(F.when(F.col("source") != "", F.col("source"))).alias("source"), F.min("day").alias("day"))
+    busy = b.where("source is not null").groupBy("source").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_messages).select("source")
     e = extracted.where("count is not null and msg_id is not null").select(F.col("msg_id").alias("row"), F.col("seq").alias("part"), F.coalesce("chant", F.lit("")).alias("chant"), F.col("count").alias("value"))
     typed = e.select("chant").distinct()
     canon = chant_list.where("chant is not null").select(F.col("chant").alias("spelling"), F.col("chant").alias("canonical"))
     # of the known spellings only those in another script add anything
     known = canon.unionByName(chant_variants.where(F.col("key").rlike(r"[^\x00-\x7f]")).select(F.col("key").alias("spelling"), "canonical")).distinct().collect()
-    labels = nearest_labels(typed.withColumnRenamed("chant", "label"), [(r.spelling, r.canonical) for r in known]).select(F.col("label").alias("chant"), F.col("canonical").alias("label"))
+    labels = nearest_labels(typed.withColumnRenamed("chant", "label"), [(r.spelling, r.canonical) for r in known]).select(F.col("label").alias("chant"), F.coalesce("canonical", F.lit("")).alias("label"))
     if typed.count() <= FEW_LABELS:
         labels = F.broadcast(labels)
     facts = e.repartition("row").distinct().join(b, "row").join(labels, "chant")
