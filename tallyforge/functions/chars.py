@@ -31,6 +31,7 @@ SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 #: First code points of the decimal digit blocks in use.
 DIGIT_BLOCKS = (0x0660, 0x06F0, 0x0966, 0xFF10)
 DIGITS = {chr(b + i): str(i) for b in DIGIT_BLOCKS for i in range(10)}
+BEYOND_ASCII = r"[^\x00-\x7f]"
 WIDE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 #: Latin letters with an accent, and the bare letter.
 ACCENTS = {c: d[0] for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
@@ -58,7 +59,8 @@ def ascii_digits(col: Column) -> Column:
 
 def fold_col(col: Column) -> Column:
     """`fold` without composition: accents of Latin letters are dropped instead, so both spellings agree."""
-    return _translate(col, {**WIDE, **DIGITS, **LOOKALIKES, **URDU, **ACCENTS, **{c: " " for c in SPACES}}, INVISIBLE + MARKS)
+    folded = _translate(col, {**WIDE, **DIGITS, **LOOKALIKES, **URDU, **ACCENTS, **{c: " " for c in SPACES}}, INVISIBLE + MARKS)
+    return F.when(col.rlike(BEYOND_ASCII), folded).otherwise(col)
 
 
 def sender_key(col: Column) -> Column:

@@ -186,6 +186,35 @@ def test_stream_of_batches(spark, tmp_path):
     assert sorted(r.body for r in stream.current_log(spark, str(tmp_path / "log")).collect()) == ["a", "a", "b"]
 
 
+def test_log_survives_a_failure_between_its_two_writes(spark, tmp_path, monkeypatch):
+    from tallyforge.sources import versions
+    from tallyforge.streaming import stream
+
+    schema = "src_idx int, msg_date date, seconds int, sender string, body string, lines array<string>, seq int"
+    rows = lambda s, bodies: spark.createDataFrame([(s, date(2026, 1, 1), 5, "x", b, [b], i) for i, b in enumerate(bodies)], schema)
+    log, cp, folder = (str(tmp_path / x) for x in ("log", "cp", "in"))
+    run = lambda: stream.merging_writer(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), log, cp).trigger(availableNow=True).start().awaitTermination(120)
+    bodies = lambda: sorted(r.body for r in stream.current_log(spark, log).collect())
+    assert stream.current_log(spark, log) is None
+    rows(0, ["a"]).coalesce(1).write.parquet(folder)
+    run()
+    rows(1, ["a", "b"]).coalesce(1).write.mode("append").parquet(folder)
+
+    def killed(*_):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", killed)
+        with pytest.raises(Exception):
+            run()
+    assert bodies() == ["a"]
+    run()
+    assert bodies() == ["a", "b"]
+    next((tmp_path / "log" / "versions").glob("v*2.json")).write_text("{")
+    with pytest.raises(Exception):
+        stream.current_log(spark, log).collect()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", [k for k in entry.oracle_sql() if k in entry.reference.SQL])
 def test_queries_agree_with_sql(spark, name):
