@@ -28,7 +28,7 @@ def test_repeats(blocks_of):
     b = blocks_of(rows)
     want = {(1, 2), (1, 5), (7, 9), (1, 14)}
     assert {tuple(r) for r in dedup.repeats(b.unionByName(b).withColumn("key", F.lit(1))).collect()} == want
-    assert {tuple(r) for r in dedup.repeats(b, per_bucket=1).collect()} == want
+    assert {tuple(r) for r in dedup.repeats(b, per_block=1, few_keys=0, hot=1).collect()} == want
     assert dedup.repeats(b.limit(0)).count() == 0
 
 
@@ -42,25 +42,48 @@ def test_a_text_again_repeats_what_came_in_its_first_batch(blocks_of):
 
 def test_index_takes_batches_one_at_a_time(spark, blocks_of, tmp_path):
     t = ["register 1 sabah mala 500 bar", "register 2 neelam mala 70 bar darya jaap 80 bar"]
-    index = dedup.RepeatIndex(spark, str(tmp_path), buckets=4)
+    index = dedup.RepeatIndex(spark, str(tmp_path), per_part=1)
     assert index.accept(blocks_of([(1, "01/01/2026", "A", t[0], 0), (2, "01/01/2026", "A", t[1], 0)])).count() == 0
     assert {tuple(r) for r in index.accept(blocks_of([(3, "01/01/2026", "A", t[1] + " forwarded", 1), (4, "02/01/2026", "A", t[0], 1)])).collect()} == {(2, 3)}
     assert {tuple(r) for r in index.accept(blocks_of([(5, "01/01/2026", "A", "register 2 neelam mala 70 bar darya", 2), (6, "02/01/2026", "a", t[0], 2)])).collect()} == {(2, 5), (4, 6)}
+    assert index.accept(blocks_of([(9, "02/01/2026", "a", t[0], 3)]).limit(0)).count() == 0
+
+
+def test_an_accepted_segment_is_not_written_again(spark, blocks_of, tmp_path):
+    """Small batches after a large one: what a batch writes does not depend on what was accepted before."""
+    index = dedup.RepeatIndex(spark, str(tmp_path), per_part=64)
+    text = lambda i: f"register {i} sabah mala {i * 7 + 3} bar"
+    index.accept(blocks_of([(i, "01/01/2026", "A", text(i), 0) for i in range(400)]))
+    first = index.segments()[0]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / first["name"]).rglob("*.parquet")}
+    for k in range(1, 4):
+        got = index.accept(blocks_of([(400 + 10 * k + i, "01/01/2026", "A", text(40 * k + i) + " again", k) for i in range(10)]))
+        assert {tuple(r) for r in got.collect()} == {(40 * k + i, 400 + 10 * k + i) for i in range(10)}
+        assert index.segments()[0] == first and sum(s["n"] for s in index.segments()[1:]) == 20 * k
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / first["name"]).rglob("*.parquet")}
+    live = {s["name"] for s in index.segments()}
+    assert {p.name for p in tmp_path.iterdir()} == live | {"versions"} and len(live) <= 3
 
 
 def test_suffix_arrays_find_every_common_substring():
     r = random.Random(1)
     texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randint(0, 3)) for _ in range(8)).encode() for _ in range(40)]
-    a = dedup.Segment(np.arange(20), np.ones(20, np.int64), texts[:20])
-    s = a.merged(dedup.Segment(np.arange(20, 40), np.ones(20, np.int64), texts[20:]))
+    a = dedup.Segment(np.arange(20), np.ones(20, np.int64), np.ones(20, bool), texts[:20])
+    s = a.merged(dedup.Segment(np.arange(20, 40), np.ones(20, np.int64), np.ones(20, bool), texts[20:]))
     assert (s.suffix[:-1] <= s.suffix[1:]).all()
     for q in texts[:5]:
-        got = s.search(1, q)
+        got = {}
+        for p, owners, places in s.seeds(1, q):
+            for i, o in zip(owners.tolist(), places.tolist()):
+                got.setdefault(i, set()).add((p, o))
         for i, t in enumerate(texts):
             pad = t + dedup.PAD
             want = {(p, o) for p in dedup.word_starts(q) for o in dedup.word_starts(t) if (q + dedup.PAD)[p : p + dedup.LEAST] == pad[o : o + dedup.LEAST]}
-            assert set(got.get(i, [])) == want
-    assert s.search(2, texts[0]) == {}
+            assert got.get(i, set()) == want
+    assert not list(s.seeds(2, texts[0]))
+    for q in (b"sabah mala " * 20_000, b"x" + b"sabah mala " * 20_000):  # long texts that repeat themselves
+        (r, a, b, _), = dedup.Segment([1], [1], [True], [b"sabah mala " * 20_000]).coverage(1, q)
+        assert a >= len(q) - 12
 
 
 # --- p4 ---------------------------------------------------------------------------------------------------------------
