@@ -115,7 +115,8 @@ def norm_date(s: Column, year: int = 2026) -> Column:
 
 def year_of(s: Column, year: int = 2026) -> Column:
     y = F.try_element_at(F.split(norm_date(s, year), "[./-]"), F.lit(-1)).try_cast("int")
-    return F.when(y.between(1000, 9999), y)
+    # the usual notation is read without splitting
+    return F.when(s.rlike(r"^[0-9]{1,2}[./-][0-9]{1,2}[./-][1-9][0-9]{3}$"), F.right(s, F.lit(4)).cast("int")).otherwise(F.when(y.between(1000, 9999), y))
 
 
 def year_ok(y: Column, ref: Column) -> Column:
@@ -127,6 +128,7 @@ def is_date_triple(d: Column, m: Column, y: Column, ref: Column) -> Column:
     return d.between(1, 31) & m.between(1, 12) & year_ok(y, ref)
 
 
+# Dates as three loose numbers, anywhere and at the end.
 _T = r"[\s.,;:/\\=|~-]+"
 LOOSE = rf"(?<!\p{{Nd}})\p{{Nd}}{{1,2}}{_T}\p{{Nd}}{{1,2}}{_T}\p{{Nd}}{{2,4}}(?!\p{{Nd}})"
 _DD, _MM = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
@@ -141,7 +143,8 @@ def strip_date_triples(text: Column, ref: Column) -> Column:
         n = F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int"))
         return F.when((F.size(n) == 3) & is_date_triple(F.get(n, F.lit(0)), F.get(n, F.lit(1)), F.get(n, F.lit(2)), ref), F.lit(" ")).otherwise(t)
 
-    return F.regexp_replace(F.array_join(F.transform(tokens, blank), ""), TRAILING, " $1")
+    # both patterns are three loose numbers: texts without them stay as they are
+    return F.when(text.rlike(LOOSE), F.regexp_replace(F.array_join(F.transform(tokens, blank), ""), TRAILING, " $1")).otherwise(ascii_digits(text))
 
 
 _S = r"\s*[./,=\-]+\s*"
@@ -172,8 +175,9 @@ def expand_number_words(text: Column) -> Column:
     t = text
     units = "|".join(sorted(COUNT_UNITS, key=len, reverse=True))
     for w, n in NUMBER_WORDS.items():
-        t = F.regexp_replace(t, rf"(?iu)(?<![^\s.,;:=\-/()\[\]|~])(?<!\p{{Nd}}[ \t]{{0,64}}){w}([\s.,;:=\-/]+)(?=(?:{units})(?:[\s.,;:=\-/]|$))", f"{n}$1")
-    return t
+        # what stands before is looked at only where the word is
+        t = F.regexp_replace(t, rf"(?iu){w}(?<![^\s.,;:=\-/()\[\]|~]{w})(?<!\p{{Nd}}[ \t]{{0,64}}{w})([\s.,;:=\-/]+)(?=(?:{units})(?:[\s.,;:=\-/]|$))", f"{n}$1")
+    return F.when(text.rlike(rf"(?iu)(?:{'|'.join(NUMBER_WORDS)})[\s.,;:=\-/]"), t).otherwise(text)
 
 
 def digit_runs(text: Column) -> Column:
@@ -209,20 +213,10 @@ def simplify(c: Column, compose: bool = True) -> Column:
 
 def phrases(run: Column) -> Column:
     """Words between numbers to phrases: separators close one; a name suffix closes it and takes the last word along."""
-    words = F.filter(F.split(run, r"[\s\p{Z}.,;=\-:/()\[\]{}!?|~'\"“”‘’।]+"), lambda w: w != "")
-    empty = F.array().cast("array<string>")
-    state = F.struct(F.array().cast("array<string>").alias("done"), empty.alias("open"))
-    close = lambda s, words: F.struct(F.when(F.size(words) > 0, F.concat(s.done, F.array(F.array_join(words, " ")))).otherwise(s.done).alias("done"), empty.alias("open"))
-
-    def step(s: Column, w: Column) -> Column:
-        low = F.lower(w)
-        return (
-            F.when(low.isin(SEPARATORS), close(s, s.open))
-            .when(low.isin(NAME_SUFFIXES), close(s, F.when(F.size(s.open) > 0, F.slice(s.open, 1, F.size(s.open) - 1)).otherwise(s.open)))
-            .otherwise(F.struct(s.done.alias("done"), F.concat(s.open, F.array(w)).alias("open")))
-        )
-
-    return F.aggregate(words, state, step, lambda s: close(s, s.open).done)
+    words = F.regexp_replace(run, r"[\s\p{Z}.,;=\-:/()\[\]{}!?|~'\"“”‘’।]+", " ")
+    sep, suffix = "|".join(SEPARATORS), "|".join(NAME_SUFFIXES)
+    cut = rf"(?iu)(?<=^| )(?:(?:{sep})|(?:(?!(?:{sep}|{suffix}) )[^ ]+ )?(?:{suffix}))(?= |$)"
+    return F.filter(F.transform(F.split(F.regexp_replace(words, cut, "\n"), "\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def atoms(text: Column, ref: Column) -> Column:

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import nfc, simplify
 
-#: Longest span of words looked up, and the most optional slots of a pattern.
-MAX_SPAN, MAX_OPTIONAL = 8, 12
+#: The most optional slots of a pattern: each doubles the sequences that it is expanded to.
+MAX_OPTIONAL = 12
 
 
 def dictionary(spellings: DataFrame) -> DataFrame:
@@ -60,6 +61,25 @@ def compile_rules(spark: SparkSession, tokens: dict[str, list[str]], patterns: d
     return words, spark.createDataFrame([(s, next(iter(c))) for s, c in seqs.items() if len(c) == 1], "sequence string, canonical string")
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """Compositional rules of a JSON file (tokens, chants, drop): words, sequences and connectives; None if the file is missing."""
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    drop = spark.createDataFrame([(w,) for w in d.get("drop", [])], "w string").select(simplify(F.col("w")).alias("w")).collect()
+    return *compile_rules(spark, d["tokens"], d["chants"]), [r.w for r in drop]
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame | None:
+    """(key, canonical) of the decisions with role chant in a JSON file, by key as filed; None if the file is missing."""
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    return spark.createDataFrame([(k, v["canonical"]) for k, v in d.items() if isinstance(v, dict) and v.get("role") == "chant" and v.get("canonical")], "key string, canonical string")
+
+
 def compose(phrases: DataFrame, words: DataFrame, seqs: DataFrame, drop: list[str], key: str = "key") -> DataFrame:
     """distinct (key) -> (key, canonical) by class sequence: every word must have a class, connectives left out."""
     w = phrases.select(key).distinct().select(key, F.posexplode(F.filter(F.split(key, " "), lambda x: ~x.isin(drop) & (x != ""))).alias("pos", "word"))
@@ -68,26 +88,45 @@ def compose(phrases: DataFrame, words: DataFrame, seqs: DataFrame, drop: list[st
 
 
 def lookup(keys: DataFrame, dictionary: DataFrame, decisions: DataFrame | None = None, composed: DataFrame | None = None) -> DataFrame:
-    """(key) ⟕ three levels: dictionary, then decisions, then composed; the first that knows the key gives its canonical."""
-    levels = [x.select("key", F.col("canonical").alias(f"_c{i}")) for i, x in enumerate((dictionary, decisions, composed)) if x is not None]
-    out = keys
-    for x in levels:
-        out = out.join(x, "key", "left")
-    names = [c for c in out.columns if c.startswith("_c")]
-    return out.withColumn("canonical", F.coalesce(*[F.col(c) for c in names])).drop(*names)
+    """(key) ⟕ three levels: dictionary, then decisions, then composed; the first that knows the key gives its canonical. One join, whatever the levels."""
+    levels = [x.select("key", F.struct(F.lit(i).alias("level"), F.col("canonical").alias("c")).alias("_b")) for i, x in enumerate((dictionary, decisions, composed)) if x is not None]
+    known = levels[0]
+    for x in levels[1:]:
+        known = known.unionByName(x)
+    if len(levels) > 1:
+        known = known.groupBy("key").agg(F.min("_b").alias("_b"))
+    return keys.join(known, "key", "left").withColumn("canonical", F.col("_b.c")).drop("_b")
+
+
+def longest_key(dictionary: DataFrame, decisions: DataFrame | None = None, rules: tuple[DataFrame, DataFrame, list[str]] | None = None) -> int:
+    """Words of the longest key or class sequence that anything could be found under. One small action."""
+    keys = [x.select("key") for x in (dictionary, decisions) if x is not None] + ([rules[1].select(F.col("sequence").alias("key"))] if rules else [])
+    every = keys[0]
+    for x in keys[1:]:
+        every = every.unionByName(x)
+    return every.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
 
 
 def classify_phrases(phrases: DataFrame, dictionary: DataFrame, decisions: DataFrame | None = None, rules: tuple[DataFrame, DataFrame, list[str]] | None = None) -> DataFrame:
-    """distinct (phrase) -> (phrase, labels): a greedy longest-first cover of the whole phrase, else its leftmost longest span, else none."""
+    """distinct (phrase) -> (phrase, labels): a greedy longest-first cover of the whole phrase, else its leftmost longest span, else none.
+
+    Spans are looked up as long as any entry is, connectives and words that leave nothing in a key not counted.
+    """
+    longest = longest_key(dictionary, decisions, rules)
     d = phrases.where("phrase is not null").distinct().withColumn("words", F.split(nfc(F.col("phrase")), " "))
-    n = F.size("words")
-    starts = F.explode(F.sequence(F.lit(1), n)).alias("start")
-    spans = d.where(n > 0).select("phrase", "words", starts).select("phrase", "words", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(2 * MAX_SPAN), F.size("words") - F.col("start") + 1))).alias("len"))
+    # each word's part of a key is worked out once; a span's key is its words' parts together
+    parts = F.transform("words", lambda w: simplify(w, compose=False))
+    weight = lambda p: F.size(F.filter(F.split(p, " "), lambda w: (w != "") & ~w.isin(rules[2] if rules else [])))
+    d = d.select("phrase", F.inline(F.array(F.struct(parts.alias("parts")))))
+    sums = F.aggregate("parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + weight(p))))
+    d = d.select("phrase", F.size("parts").alias("n"), "parts", F.inline(F.array(F.struct(sums.alias("sums")))))
+    reach = F.size(F.filter("sums", lambda x: x <= F.get("sums", F.col("start") - 1) + longest)) - F.col("start")
+    spans = d.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("start")).select("phrase", "n", "parts", "start", F.explode(F.when(reach > 0, F.sequence(F.lit(1), reach))).alias("len"))
+    key = F.array_join(F.filter(F.slice("parts", F.col("start"), F.col("len")), lambda w: w != ""), " ")
     # the generator keeps the key from being computed anew in each filter
-    key = simplify(F.array_join(F.slice("words", F.col("start"), F.col("len")), " "), compose=False)
-    spans = spans.select("phrase", F.size("words").alias("n"), "start", "len", F.inline(F.array(F.struct(key.alias("key"))))).where(F.size(F.split("key", " ")) <= MAX_SPAN)
-    composed = compose(spans.where("key <> ''"), *rules) if rules else None
-    hits = lookup(spans.where("key <> ''"), dictionary, decisions, composed).where("canonical is not null")
+    spans = spans.select("phrase", "n", "start", "len", F.inline(F.array(F.struct(key.alias("key"))))).where("key <> ''")
+    composed = compose(spans, *rules) if rules else None
+    hits = lookup(spans, dictionary, decisions, composed).where("canonical is not null")
     per_start = hits.groupBy("phrase", "n", "start").agg(F.max(F.struct("len", "canonical")).alias("h"))
     g = per_start.groupBy("phrase", "n").agg(F.map_from_entries(F.collect_list(F.struct("start", "h"))).alias("m"), F.max_by(F.col("h.canonical"), F.struct(F.col("h.len"), -F.col("start"))).alias("longest"))
     walk = F.aggregate(

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.session import spread
 
 CONTENT, DROPPED, OPEN = ["chant-label", "count"], ["filler", "name", "date", "greeting", "phone", "list-marker", "other"], ["uncertain"]
 
@@ -42,7 +41,7 @@ def gate(diff: DataFrame, threshold: int = 100) -> str:
 
 def source_bag(blocks: DataFrame, year: int = 2026) -> DataFrame:
     """(date, value): every number that the blocks' texts report."""
-    return spread(blocks.select("envelope_date", "text")).select(T.norm_date(F.col("envelope_date"), year).alias("date"), F.explode(T.numbers_in(F.col("text"), T.year_of(F.col("envelope_date"), year))).alias("value"))
+    return blocks.select(T.norm_date(F.col("envelope_date"), year).alias("date"), F.explode(T.numbers_in(F.col("text"), T.year_of(F.col("envelope_date"), year))).alias("value"))
 
 
 def fact_bag(facts: DataFrame, year: int = 2026) -> DataFrame:
@@ -60,10 +59,13 @@ def record_flags(records: DataFrame, date_range: tuple[int, int] = (2020, 2030))
     year_like = F.transform(F.filter(counts, lambda x: F.exists(T.digit_runs(x["t"]), lambda n: n.between(*date_range))), lambda x: F.struct(F.lit("soft").alias("level"), F.lit("year-like-count").alias("code"), x["t"].alias("message")))
     odd_date = F.transform(F.filter(s, lambda x: (x["role"] == "date") & F.exists(T.digit_runs(x["t"]), lambda n: n.between(100, 1999) | (n > 2099))), lambda x: F.struct(F.lit("soft").alias("level"), F.lit("odd-number-in-date").alias("code"), x["t"].alias("message")))
     shape = F.transform(F.filter(counts, lambda x: F.size(T.digit_runs(x["t"])) != 1), lambda x: F.struct(F.lit("hard").alias("level"), F.lit("count-shape").alias("code"), x["t"].alias("message")))
+    times = lambda a, v: F.size(F.filter(a, lambda x: x.eqNullSafe(v)))
+    # as bags: a number that stands twice in the text and once in the segments differs too
+    odd = F.filter(F.transform(F.array_distinct(F.concat(nums, own)), lambda v: F.when(times(nums, v) != times(own, v), F.format_string("%s: %d in text, %d in segments", F.coalesce(v.cast("string"), F.lit("too large")), times(nums, v), times(own, v)))), lambda x: x.isNotNull())
     whole = F.array_compact(
         F.array(
             flag(T.without_space(F.array_join(F.transform(s, lambda x: x["t"]), "")) != T.without_space(F.col("text")), "hard", "reconstruction", F.lit("segments differ from text")),
-            flag(F.array_sort(nums) != F.array_sort(own), "hard", "number-census", F.concat_ws(",", F.array_except(nums, own), F.array_except(own, nums))),
+            flag(F.array_sort(nums) != F.array_sort(own), "hard", "number-census", F.array_join(odd, ", ")),
         )
     )
     flags = F.concat(per(lambda x: ~x["role"].isin(valid), "hard", "bad-role"), per(lambda x: x["role"] == "uncertain", "hard", "uncertain"), whole, shape, year_like, odd_date)

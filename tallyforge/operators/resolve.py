@@ -5,12 +5,14 @@ A message either resolves as a whole or is flagged; a number is never dropped si
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators.lexicon import classify_phrases
-from tallyforge.session import spread
+from tallyforge.session import cut_lineage
 
 PAIRS = "array<struct<label:string,count:long>>"
 
@@ -45,35 +47,48 @@ def carry_forward(s: Column) -> Column:
     return F.when((F.size(labels) == 1) & (F.size(nums) > 0) & (F.get(s, F.lit(0))["k"] == "L"), F.transform(nums, lambda x: F.struct(F.get(labels, F.lit(0)).alias("label"), x["n"].alias("count"))))
 
 
-def resolve(messages: DataFrame, dictionary: DataFrame, decisions: DataFrame | None = None, rules=None, year: int = 2026) -> DataFrame:
-    """(id, envelope_date, text) -> adds stream, pairs (null if unresolved), error and dropped phrases."""
-    m = spread(messages.select("id", "envelope_date", "text")).select("id", F.inline(F.array(F.struct(T.atoms(F.col("text"), T.year_of(F.col("envelope_date"), year)).alias("_atoms")))))
-    a = m.select("id", F.posexplode("_atoms").alias("pos", "a")).select("id", "pos", "a.kind", "a.value", F.col("a.text").alias("phrase"))
+def resolve(messages: DataFrame, dictionary: DataFrame, decisions: DataFrame | None = None, rules=None, year: int = 2026, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, envelope_date, text, *carry), ids unique -> (id, *carry, stream, pairs, error, dropped): pairs are null if unresolved."""
+    # generators keep the optimiser from copying the atoms, the stream and the pairs into every place that reads them
+    atoms = T.atoms(F.col("text"), T.year_of(F.col("envelope_date"), year))
+    # read twice, for the distinct phrases and for the streams
+    m = cut_lineage(messages.select("id", *carry, F.inline(F.array(F.struct(atoms.alias("_atoms"))))))
+    a = m.select("id", *carry, F.posexplode_outer("_atoms").alias("pos", "a")).select("id", *carry, "pos", "a.kind", "a.value", F.col("a.text").alias("phrase"))
     labels = classify_phrases(a.where("kind = 'phrase'").select("phrase"), dictionary, decisions, rules)
-    j = a.join(labels, "phrase", "left")
-    item = F.when(F.col("kind") == "num", F.array(F.struct(F.lit("N").alias("k"), F.lit(None).cast("string").alias("l"), F.col("value").alias("n")))).otherwise(F.transform(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.struct(F.lit("L").alias("k"), x.alias("l"), F.lit(None).cast("long").alias("n"))))
-    g = j.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("items")))), lambda x: x["items"])).alias("stream"), F.collect_set(F.when((F.col("kind") == "phrase") & (F.size(F.coalesce("labels", F.array().cast("array<string>"))) == 0), F.col("phrase"))).alias("dropped"))
-    s = F.coalesce("stream", F.array().cast("array<struct<k:string,l:string,n:bigint>>"))
-    # generators keep the optimiser from copying the stream and the pairs into every place that reads them
-    out = messages.join(g, "id", "left").select(*[F.col(c) for c in messages.columns], "dropped", F.inline(F.array(F.struct(s.alias("stream")))))
+    # numbers match no phrase: a key of their own, by id, keeps them from meeting in one task as nulls would
+    key = F.when(F.col("kind") == "phrase", F.col("phrase")).otherwise(F.concat(F.lit("\u0000"), F.col("id").cast("string")))
+    j = a.withColumn("_k", key).join(labels.withColumnRenamed("phrase", "_k"), "_k", "left")
+    none = F.coalesce("labels", F.array().cast("array<string>"))
+    item = F.when(F.col("kind") == "num", F.array(F.struct(F.lit("N").alias("k"), F.lit(None).cast("string").alias("l"), F.col("value").alias("n")))).otherwise(F.transform(none, lambda x: F.struct(F.lit("L").alias("k"), x.alias("l"), F.lit(None).cast("long").alias("n"))))
+    g = j.groupBy("id").agg(*[F.first(c).alias(c) for c in carry], F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("items")))), lambda x: x["items"])).alias("stream"), F.collect_set(F.when((F.col("kind") == "phrase") & (F.size(none) == 0), F.col("phrase"))).alias("dropped"))
     c = F.col("stream")
     pairs = F.coalesce(pair_stream(c), without_trailing_label(c), carry_forward(c)).cast(PAIRS)
-    out = out.select("*", F.inline(F.array(F.struct(pairs.alias("pairs"), pair_error(c).alias("error")))))
+    out = g.select("*", F.inline(F.array(F.struct(pairs.alias("pairs"), pair_error(c).alias("error")))))
     return out.withColumn("error", F.when(F.col("pairs").isNull(), F.col("error")))
 
 
-def template_pairs(messages: DataFrame, templates: DataFrame, fixes: DataFrame, repair_senders: list[str] | None = None, year: int = 2026) -> DataFrame:
-    """(id, sender, envelope_date, text) of senders with a template -> (id, seq, chant, count): the n-th number is the n-th slot's.
+def with_template(messages: DataFrame, templates: DataFrame, repair_senders: list[str] | None = None, year: int = 2026) -> DataFrame:
+    """Adds `_slots` (null for senders without a template) and `_numbers` of those with one: as many numbers as slots fit."""
+    size = templates.groupBy(T.strip(F.col("sender")).alias("_ts")).agg(F.count("*").cast("int").alias("_slots"))
+    t = F.when(T.strip(F.col("sender")).isin(repair_senders or []), T.repair_infix(F.col("text"))).otherwise(F.col("text"))
+    m = messages.join(size, T.strip(F.col("sender")) == F.col("_ts"), "left").drop("_ts")
+    return m.withColumn("_numbers", F.when(F.col("_slots").isNotNull(), T.numbers_in(t, T.year_of(F.col("envelope_date"), year))))
 
-    Only messages with as many numbers as slots; `fixes` (sender, chant, bad, good) put known slips right.
-    """
-    size = templates.groupBy("sender").agg(F.count("*").alias("_slots"))
-    t = F.when(F.col("sender").isin(repair_senders or []), T.repair_infix(F.col("text"))).otherwise(F.col("text"))
-    m = messages.join(size, "sender").withColumn("_n", T.numbers_in(t, T.year_of(F.col("envelope_date"), year))).where(F.size("_n") == F.col("_slots"))
-    n = m.select("id", "sender", F.posexplode("_n").alias("seq", "count")).withColumn("slot", F.col("seq") + 1)
-    j = n.join(templates.select("sender", "slot", "chant"), ["sender", "slot"])
-    f = fixes.select("sender", "chant", F.col("bad").alias("count"), "good")
-    return j.join(f, ["sender", "chant", "count"], "left").select("id", F.col("slot").alias("seq"), "chant", F.coalesce("good", "count").alias("count"))
+
+_FITS = "_slots is not null and coalesce(size(_numbers) = _slots, false)"
+
+
+def slotted(fitting: DataFrame, templates: DataFrame, fixes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Messages that fit their template -> (id, *carry, seq, chant, count): the n-th number is the n-th slot's; `fixes` (sender, chant, bad, good) put known slips right."""
+    n = fitting.select("id", *carry, T.strip(F.col("sender")).alias("sender"), F.posexplode("_numbers").alias("_p", "count")).withColumn("slot", F.col("_p") + 1)
+    j = n.join(templates.select(T.strip(F.col("sender")).alias("sender"), "slot", "chant"), ["sender", "slot"])
+    f = fixes.select(T.strip(F.col("sender")).alias("sender"), "chant", F.col("bad").alias("count"), "good")
+    return j.join(f, ["sender", "chant", "count"], "left").select("id", *carry, F.col("slot").cast("int").alias("seq"), "chant", F.coalesce("good", "count").alias("count"))
+
+
+def template_pairs(messages: DataFrame, templates: DataFrame, fixes: DataFrame, repair_senders: list[str] | None = None, year: int = 2026) -> DataFrame:
+    """(id, sender, envelope_date, text) of senders with a template -> (id, seq, chant, count) of the messages that fit it."""
+    return slotted(with_template(messages, templates, repair_senders, year).where(_FITS), templates, fixes)
 
 
 def store_key(sender: Column, date: Column, text: Column, year: int = 2026) -> list[Column]:
@@ -87,24 +102,54 @@ def with_store(messages: DataFrame, store: DataFrame, value: str, name: str, yea
     return messages.select("*", *store_key(F.col("sender"), F.col("envelope_date"), F.col("text"), year)).join(s, k, "left").drop(*k).withColumn(f"_in_{name}", F.coalesce(f"_in_{name}", F.lit(False)))
 
 
-def build(blocks: DataFrame, dictionary: DataFrame, duplicates: DataFrame, non_reports: DataFrame, corrections: DataFrame, templates: DataFrame, fixes: DataFrame, decisions: DataFrame | None = None, rules=None, year: int = 2026) -> tuple[DataFrame, DataFrame]:
-    """(facts, review). Exclusions first, then corrections, then templates, then resolution; what stays open is flagged HARD."""
-    m = with_store(with_store(blocks, duplicates, "reason", "dup", year), non_reports, "reason", "non", year)
-    note = lambda d, level, code, msg: d.select(F.col("id").alias("msg_id"), F.lit(level).alias("level"), F.lit(code).alias("code"), msg.alias("message"))
-    review = note(m.where("_in_dup"), "INFO", "known-duplicate", F.col("dup")).unionByName(note(m.where("not _in_dup and _in_non"), "INFO", "non-chant", F.col("non")))
-    live = with_store(m.where("not _in_dup and not _in_non").select("id", "envelope_date", "sender", "text"), corrections, "corrected_text", "fixed", year)
-    review = review.unionByName(note(live.where("_in_fixed"), "INFO", "text-correction", F.lit("text replaced")))
-    live = live.select("id", "envelope_date", "sender", F.coalesce("fixed", "text").alias("text"))
-    tpl = template_pairs(live, templates, fixes, year=year)
-    off = live.join(templates.select("sender").distinct(), "sender", "left_semi").join(tpl.select("id").distinct(), "id", "left_anti")
-    review = review.unionByName(note(off, "INFO", "template-shape", F.lit("off template")))
-    rest = live.join(tpl.select("id").distinct(), "id", "left_anti")
-    r = resolve(rest, dictionary, decisions, rules, year)
-    facts = r.where("pairs is not null").select("id", F.posexplode("pairs").alias("seq", "p")).select("id", (F.col("seq") + 1).alias("seq"), F.col("p.label").alias("chant"), F.col("p.count").alias("count"))
-    review = review.unionByName(note(r.where("pairs is null"), "HARD", "unresolved", F.coalesce("error", F.lit(""))))
-    all_ = tpl.select("id", "seq", "chant", "count").unionByName(facts.select("id", "seq", "chant", "count"))
-    dates = blocks.select("id", T.norm_date(F.col("envelope_date"), year).alias("date"))
-    return all_.join(dates, "id").select(F.col("id").alias("msg_id"), "seq", "date", "chant", "count"), review
+def with_stores(messages: DataFrame, duplicates: DataFrame, non_reports: DataFrame, corrections: DataFrame, year: int = 2026) -> DataFrame:
+    """Adds `_dup`, `_non` and `_fix`, structs of what the stores hold for the same sender, date and text (reason; corrected text and reason), null where nothing. One join."""
+    k = ["_ks", "_kd", "_kt"]
+    keys = store_key(F.col("sender"), F.col("envelope_date"), F.col("text"), year)
+    reason = F.coalesce("reason", F.lit(""))
+    tagged = duplicates.select(*keys, F.lit("dup").alias("_s"), F.struct(reason.alias("reason"), F.lit("").alias("text")).alias("_v"))
+    tagged = tagged.unionByName(non_reports.select(*keys, F.lit("non").alias("_s"), F.struct(reason.alias("reason"), F.lit("").alias("text")).alias("_v")))
+    tagged = tagged.unionByName(corrections.select(*keys, F.lit("fix").alias("_s"), F.struct(reason.alias("reason"), F.coalesce("corrected_text", F.lit("")).alias("text")).alias("_v")))
+    one = tagged.groupBy(*k).agg(*[F.min(F.when(F.col("_s") == s, F.col("_v"))).alias(f"_{s}") for s in ("dup", "non", "fix")])
+    return messages.select("*", *keys).join(one, k, "left").drop(*k)
+
+
+def live_messages(blocks: DataFrame, duplicates: DataFrame, non_reports: DataFrame, corrections: DataFrame, templates: DataFrame, repair_senders: list[str] | None = None, year: int = 2026) -> DataFrame:
+    """(id, envelope_date, sender, text as corrected, date) of every block, with `_dup`, `_non`, `_fix`, `_slots` and `_numbers`; excluded ones are those with `_dup` or `_non`."""
+    m = with_stores(blocks.select("id", "envelope_date", "sender", "text"), duplicates, non_reports, corrections, year)
+    m = m.withColumn("text", F.when(F.col("_fix").isNotNull(), F.col("_fix.text")).otherwise(F.col("text"))).withColumn("date", T.norm_date(F.col("envelope_date"), year))
+    return with_template(m, templates, repair_senders, year)
+
+
+def build(
+    blocks: DataFrame, dictionary: DataFrame, duplicates: DataFrame, non_reports: DataFrame, corrections: DataFrame, templates: DataFrame, fixes: DataFrame, decisions: DataFrame | None = None, rules=None, year: int = 2026,
+    repair_senders: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda d: d,
+) -> tuple[DataFrame, DataFrame]:
+    """(facts, review). Exclusions first, then corrections, then templates, then resolution; what stays open is flagged HARD.
+
+    `review` has a column `step`, the cascade's order within a message. `keep` is applied to the messages and to what was
+    resolved, for callers that read both results and want that work done once.
+    """
+    m = keep(live_messages(blocks, duplicates, non_reports, corrections, templates, repair_senders, year))
+    live = m.where("_dup is null and _non is null")
+    note = lambda d, step, level, code, msg: d.select(F.col("id").alias("msg_id"), F.lit(step).alias("step"), F.lit(level).alias("level"), F.lit(code).alias("code"), msg.alias("message"))
+    review = note(m.where("_dup is not null"), 0, "INFO", "known-duplicate", F.col("_dup.reason"))
+    review = review.unionByName(note(m.where("_dup is null and _non is not null"), 1, "INFO", "non-chant", F.col("_non.reason")))
+    review = review.unionByName(note(live.where("_fix is not null"), 2, "INFO", "text-correction", F.col("_fix.reason")))
+    review = review.unionByName(note(live.where(f"_slots is not null and not ({_FITS})"), 3, "INFO", "template-shape", F.lit("off template")))
+    tpl = slotted(live.where(_FITS), templates, fixes, ("date",))
+    r = keep(resolve(live.where(f"not ({_FITS})"), dictionary, decisions, rules, year, ("date",)))
+    facts = r.where("pairs is not null").select("id", "date", F.posexplode("pairs").alias("_p", "p")).select("id", "date", (F.col("_p") + 1).alias("seq"), F.col("p.label").alias("chant"), F.col("p.count").alias("count"))
+    review = review.unionByName(note(r.where("pairs is null"), 4, "HARD", "unresolved", F.coalesce("error", F.lit(""))))
+    return tpl.unionByName(facts).select(F.col("id").alias("msg_id"), "seq", "date", "chant", "count"), review
+
+
+def reported_bag(messages: DataFrame, templates: DataFrame, fixes: DataFrame, year: int = 2026) -> DataFrame:
+    """(date, value) of what live_messages report: the template's own counts where a message fits it, else every number of its text."""
+    live = messages.where("_dup is null and _non is null")
+    own = slotted(live.where(_FITS), templates, fixes, ("date",)).select("date", F.col("count").alias("value"))
+    rest = live.where(f"not ({_FITS})").select("date", F.explode(T.numbers_in(F.col("text"), T.year_of(F.col("envelope_date"), year))).alias("value"))
+    return own.unionByName(rest)
 
 
 def stream_of_segments(segments: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import lexicon, messages, quality, report, resolve
+from tallyforge.session import spread
 from tallyforge.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,12 +190,8 @@ t AS (SELECT key, regexp_replace(rest, ' +', ' ', 'g') AS rest FROM s)
 SELECT key, chant AS canonical FROM t JOIN chant_list ON rest = lower(chant) OR rest IN (lower(chant) || ' pak', lower(chant) || ' shareef', lower(chant) || ' sharif', 'shri ' || lower(chant), 'shri ' || lower(chant) || ' pak', 'shri ' || lower(chant) || ' shareef', 'shri ' || lower(chant) || ' sharif')""")
 def composed_labels(r):
     """Labels composed of classes of words, with optional words before and after."""
-    spark = r("chant_list").sparkSession
-    chants = [x.chant for x in r("chant_list").select("chant").distinct().collect()]
-    tokens = {w: [w.lower()] for c in chants for w in c.split()} | {"HONOUR": ["pak", "shareef", "sharif"], "SHRI": ["shri"]}
-    rules = lexicon.compile_rules(spark, tokens, {c: f"SHRI? {c} HONOUR?" for c in chants})
     keys = r("extracted").where("chant is not null").select(T.simplify(F.col("chant")).alias("key"))
-    return lexicon.compose(keys, *rules, ["e", "ye"])
+    return lexicon.compose(keys, *_rules(r))
 
 
 @query("""SELECT src_idx, count(*) AS n FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM review r WHERE r.msg_id = b.id AND r.code = 'non-chant') GROUP BY 1""")
@@ -242,7 +239,7 @@ def paired_streams(r):
 
 @query()
 def resolved_facts(r):
-    """The cascade without its templates, known duplicates, phrase decisions and compositional rules, for which the tables have no store: blocks to facts, with exclusions of no-reports, corrections and the dictionary of known spellings."""
+    """The whole cascade, blocks to facts: no-reports excluded, corrections, templates of senders who always report the same labels in the same order, dictionary, decisions from unambiguous known spellings, compositional rules. (The tables have no store of known duplicates; that one is empty here.)"""
     return _built(r)[0]
 
 
@@ -252,13 +249,31 @@ def resolved_review(r):
     return _built(r)[1].groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
+def _rules(r) -> tuple[DataFrame, DataFrame, list[str]]:
+    chants = [x.chant for x in r("chant_list").select("chant").distinct().collect()]
+    tokens = {w: [w.lower()] for c in chants for w in c.split()} | {"HONOUR": ["pak", "shareef", "sharif"], "SHRI": ["shri"]}
+    return *lexicon.compile_rules(r("chant_list").sparkSession, tokens, {c: f"SHRI? {c} HONOUR?" for c in chants}), ["e", "ye"]
+
+
+def _templates(r) -> DataFrame:
+    """(sender, slot, chant): of senders with twenty messages or more that all report the same listed labels in the same order."""
+    e = r("extracted").where("chant is not null").select("msg_id", "seq", "chant").distinct()
+    shape = e.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chant"))), lambda x: x["chant"]).alias("shape"))
+    s = shape.join(r("blocks").where("sender is not null").select(F.col("id").alias("msg_id"), T.strip(F.col("sender")).alias("sender")), "msg_id")
+    same = s.groupBy("sender").agg(F.count("*").alias("n"), F.min("shape").alias("a"), F.max("shape").alias("z")).where("sender <> '' and n >= 20 and a = z")
+    return same.select("sender", F.posexplode("a").alias("slot", "chant")).select("sender", (F.col("slot") + 1).alias("slot"), "chant")
+
+
 def _built(r) -> tuple[DataFrame, DataFrame]:
     spark = r("blocks").sparkSession
-    none = spark.createDataFrame([], "sender string, envelope_date string, text string, reason string")
-    non = r("blocks").join(r("review").where("code = 'non-chant'").select(F.col("msg_id").alias("id")), "id", "left_semi").select("sender", "envelope_date", "text", F.lit("no report in message").alias("reason"))
-    tpl = spark.createDataFrame([], "sender string, slot int, chant string")
+    b = spread(r("blocks").select("id", "envelope_date", "sender", "text"))
+    store = lambda ids, reason: r("blocks").join(ids, "id", "left_semi").select("sender", "envelope_date", "text", F.lit(reason).alias("reason"))
+    code = lambda c: r("review").where(F.col("code") == c).select(F.col("msg_id").alias("id"))
+    dup = spark.createDataFrame([], readers.STORE)
     fixes = spark.createDataFrame([], "sender string, chant string, bad long, good long")
-    return resolve.build(r("blocks").select("id", "envelope_date", "sender", "text"), _dictionary(r), none, non, r("text_corrections"), tpl, fixes)
+    decisions = r("chant_variants").select(T.simplify(F.col("key")).alias("key"), "canonical").where("key <> ''").groupBy("key").agg(F.min("canonical").alias("canonical"), F.max("canonical").alias("_z")).where("canonical = _z").drop("_z")
+    own = r("chant_list").select(F.col("chant").alias("spelling"), F.col("chant").alias("canonical"))
+    return resolve.build(b, lexicon.dictionary(own), dup, store(code("non-chant"), "no report in message"), r("text_corrections"), _templates(r), fixes, decisions, _rules(r))
 
 
 # --- reconciliation and checks ----------------------------------------------------------------------------------------
@@ -286,9 +301,12 @@ def bag_differences_all(r):
 @query()
 def reconcile_report(r):
     """Dates on which the facts differ from the numbers that the corrected texts report, with the gate's verdict."""
-    t = resolve.with_store(r("blocks").select("id", "sender", "envelope_date", "text"), r("text_corrections"), "corrected_text", "fixed").select("id", "envelope_date", F.coalesce("fixed", "text").alias("text"))
-    live = t.join(r("review").where("code = 'non-chant'").select(F.col("msg_id").alias("id")), "id", "left_anti")
-    return quality.reconcile(quality.source_bag(live), quality.fact_bag(r("extracted").distinct()))
+    code = r("review").where("code = 'non-chant'").select(F.col("msg_id").alias("id"))
+    live = spread(r("blocks").select("id", "sender", "envelope_date", "text")).join(code, "id", "left_anti")
+    none = code.sparkSession.createDataFrame([], readers.STORE)
+    m = resolve.live_messages(live, none, none, r("text_corrections"), _templates(r))
+    fixes = code.sparkSession.createDataFrame([], "sender string, chant string, bad long, good long")
+    return quality.reconcile(resolve.reported_bag(m, _templates(r), fixes), quality.fact_bag(r("extracted").distinct()))
 
 
 @query("""SELECT msg_id, seq, level, code FROM (
