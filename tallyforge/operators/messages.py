@@ -5,6 +5,9 @@ Order is always carried by explicit columns (src_idx, line_no, seq). A null line
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,13 @@ def sessionize(lines: DataFrame, unglue: bool = True, notices_close: bool = Fals
     return g.select("path", no.cast("long").alias("msg_no"), "h.time", "h.date", "h.sender", T.strip(F.array_join("l.body", "\n")).alias("body"), F.col("l.line").alias("lines"), F.element_at("l.line_no", 1).alias("first_line"))
 
 
+def preamble(lines: DataFrame) -> DataFrame:
+    """Lines (path, line_no, line, ...) before the first header of their file; of files without one all."""
+    head = T.strip_leading_bidi(F.col("line"))
+    first = lines.where(F.exists(T.split_glued(head), lambda x: T.header(x).isNotNull())).groupBy("path").agg(F.min("line_no").alias("_first"))
+    return lines.join(first, "path", "left").where("_first is null or line_no < _first").drop("_first")
+
+
 def as_blocks(messages: DataFrame) -> DataFrame:
     """(id, envelope_date, sender, text)."""
     return messages.select(F.col("msg_no").alias("id"), F.col("date").alias("envelope_date"), "sender", F.col("body").alias("text"))
@@ -51,13 +61,62 @@ def bag_union(rows: DataFrame, identity: list[str], source: str, order: list[str
     return new.select(*identity, source, "_r.*", F.explode(F.sequence(F.col("_m") + 1, F.col("_n"))).alias("occ"))
 
 
+#: Bodies that begin alike for so many characters are searched together; shorter ones are looked up among all beginnings.
+HEAD = 8
+
+
+def continued(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, body, lo, hi) of distinct bodies, lo and hi their least and greatest source -> those that another of the same keys begins with, with lo and hi of all such.
+
+    Among bodies in order those that begin with one follow it at once, so one pass with a stack of open beginnings finds them,
+    without comparing pairs. The pass is spread by keys and by the first HEAD characters.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list[list] = []  # key, body, lo and hi of what continues it, of itself too
+        out: list[tuple] = []
+
+        def close() -> None:
+            k, b, lo, hi, own = stack.pop()
+            if lo is not None:
+                out.append((*k, b, lo, hi))
+                own = (min(lo, own[0]), max(hi, own[1]))
+            if stack:  # what continues this one continues the one below
+                x = stack[-1]
+                x[2], x[3] = (own[0], own[1]) if x[2] is None else (min(x[2], own[0]), max(x[3], own[1]))
+
+        for d in batches:
+            for *k, b, lo, hi in zip(*(d[c] for c in [*keys, "body", "lo", "hi"])):
+                while stack and not (stack[-1][0] == k and b.startswith(stack[-1][1])):
+                    close()
+                stack.append([k, b, None, None, (lo, hi)])
+            yield pd.DataFrame(out, columns=[*keys, "body", "lo", "hi"])
+            out.clear()
+        while stack:
+            close()
+        yield pd.DataFrame(out, columns=[*keys, "body", "lo", "hi"])
+
+    size = F.length("body")
+    head = F.left("body", F.lit(HEAD))
+    d = bodies.select(*keys, "body", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    long = d.where(size >= HEAD).repartition(*[F.col(k) for k in keys], head).sortWithinPartitions(*keys, "body").mapInPandas(run, ", ".join([f"{k} string" for k in keys] + ["body string", "lo long", "hi long"]))
+    starts = d.where(size > 1).select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.least(size - 1, F.lit(HEAD - 1))), lambda n: F.left("body", n))).alias("body"), "lo", "hi")
+    short = starts.groupBy(*keys, "body").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    empty = d.where(size > 0).groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*keys, F.lit("").alias("body"), "lo", "hi")
+    return long.unionByName(short).unionByName(empty)
+
+
 def drop_truncated(rows: DataFrame, key: list[str], source: str, body: str = "body") -> DataFrame:
-    """Without rows whose body is a proper beginning of a longer one with the same key from another source."""
-    b = rows.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(source).alias("_s"), F.col(body).alias("_b")).distinct()
-    on = F.col("_s") != F.col(source)
-    for k in key:
-        on = on & F.col(f"_{k}").eqNullSafe(F.col(k))
-    return rows.join(b, on & F.expr(f"startswith(_b, {body})") & (F.length("_b") > F.length(body)), "left_anti")
+    """Without rows whose body is a proper beginning of a longer one with the same key from another source. A null body is kept; null keys are equal."""
+    k = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_k{i}") for i, c in enumerate(key)]
+    names = [f"_k{i}" for i in range(len(key))]
+    b = rows.where(F.col(body).isNotNull()).select(*k, F.col(body).alias("body"), F.col(source).alias("_s")).groupBy(*names, "body").agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))
+    cut = continued(b, names).select(*[F.col(n).alias(f"_c{n}") for n in names], F.col("body").alias("_b"), "lo", "hi")
+    # some longer copy comes from another source unless all of them come from this row's own
+    on = (F.col(body) == F.col("_b")) & ((F.col("lo") != F.col(source)) | (F.col("hi") != F.col(source)))
+    for n in names:
+        on = on & (F.col(n) == F.col(f"_c{n}"))
+    return rows.select("*", *k).join(cut, on, "left_anti").drop(*names)
 
 
 def merge_log(messages: DataFrame) -> DataFrame:

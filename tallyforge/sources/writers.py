@@ -47,6 +47,26 @@ def write_weeks(messages: DataFrame, path: str) -> None:
     messages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week_label").parquet(path)
 
 
+def write_week_files(messages: DataFrame, folder: str) -> None:
+    """A text file for each week, in one pass over the messages in order; each appears whole or not at all."""
+    os.makedirs(folder, exist_ok=True)
+    rows = messages.select("week_start", "week_label", "msg_date", "seconds", "seq", F.posexplode("lines").alias("k", "line"))
+    f, name = None, None
+
+    def close() -> None:
+        if f:
+            f.close()
+            os.replace(os.path.join(folder, name + ".tmp"), os.path.join(folder, name))
+
+    for r in rows.orderBy("week_start", "msg_date", "seconds", "seq", "k").select("week_label", "line").toLocalIterator():
+        if r.week_label != name:
+            close()
+            name = r.week_label
+            f = open(os.path.join(folder, name + ".tmp"), "w", encoding="utf-8", newline="\n")
+        f.write(r.line + "\n")
+    close()
+
+
 def write_jsonl(rows: DataFrame, path: str, order: str = "id") -> None:
     rows.orderBy(order).write.mode("overwrite").json(path)
 
@@ -63,7 +83,8 @@ def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_review(review: DataFrame, path: str) -> None:
-    write_text(review.select("msg_id", "code", F.concat(F.lit("["), "level", F.lit("] #"), F.col("msg_id").cast("string"), F.lit(" "), "code", F.lit(": "), F.coalesce("message", F.lit(""))).alias("line")), path, ["msg_id", "code"])
+    """Lines by message, in the order of the cascade's steps."""
+    write_text(review.select("msg_id", "step", F.concat(F.lit("["), "level", F.lit("] #"), F.col("msg_id").cast("string"), F.lit(" "), "code", F.lit(": "), F.coalesce("message", F.lit(""))).alias("line")), path, ["msg_id", "step"])
 
 
 def write_state(state: dict, path: str) -> None:

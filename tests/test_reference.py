@@ -70,6 +70,18 @@ def test_merge_keeps_greatest_multiplicity(spark):
     assert sorted(r.body for r in messages.merge_log(one_paste).collect()) == ["a", "a", "ab", "b", "bc d"]
 
 
+def test_truncated_bodies_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["x", None]), r.randint(0, 2), None if i % 50 == 7 else "".join(r.choice("ab") for _ in range(r.choice([0, 1, 2, 5, 7, 8, 9, 12])))) for i in range(300)]
+    rows += [(1000 + i, "y", i % 2, "abcdefgh" * 3 + "ij"[: i % 3]) for i in range(12)]
+    d = spark.createDataFrame(rows, "id int, k string, s int, body string")
+    want = {i for i, k, s, b in rows if b is None or not any(k == k2 and s2 != s and b2 is not None and len(b2) > len(b) and b2.startswith(b) for _, k2, s2, b2 in rows)}
+    assert {x.id for x in messages.drop_truncated(d, ["k"], "s").collect()} == want
+    assert messages.drop_truncated(d.limit(0), ["k"], "s").count() == 0
+
+
 def test_pairing(spark):
     item = lambda x: ("L", x, None) if isinstance(x, str) else ("N", None, x)
     streams = [["a", 121, "b", 30], [5, "a", 6, "b"], ["a", "b", 1, 2], ["a", 1, "b"], [], ["a", 1, 2, 3], [1]]
@@ -228,3 +240,42 @@ def test_queries_agree_with_sql(spark, name):
     want = c.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     plain = lambda rows: sorted(repr([float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r]) for r in rows)
     assert plain(tuple(r) for r in got.select(*cols).collect()) == plain(want)
+
+
+def test_commands_end_to_end(spark, tmp_path, capsys):
+    """Paste to log to weeks to blocks to facts to summaries, with exit codes."""
+    from tallyforge import cli
+
+    p = lambda *x: str(tmp_path.joinpath(*x))
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "a.txt").write_text("hello\n[4:48 am, 08/04/2026] A: sabah mala 500 bar\n[5:00 am, 08/04/2026] T: 100 and 7\n[6:00 am, 09/04/2026] B: shri kohsar jaap 30\n[7:00 am, 20/04/2026] B: later 1\n")
+    assert cli.main(["ingest", "--inbox", p("inbox"), "--chatlog", p("log.txt")]) == 0
+    out = capsys.readouterr().out
+    assert "4 messages, 1 lines before the first" in out and "4 new, 0 copies left out, 4 in all, 2026-04-08 to 2026-04-20" in out
+    assert cli.main(["split-weeks", p("log.txt"), "--out", p("weeks"), "--state", p("state.json"), "--today", "2026-04-22"]) == 0
+    assert sorted(f.name for f in (tmp_path / "weeks").iterdir()) == ["06-to-12-Apr-2026.txt"] and "in progress" in capsys.readouterr().out
+    assert cli.main(["split-weeks", p("log.txt"), "--out", p("weeks"), "--state", p("state2.json"), "--since", "2027-01-01"]) == 1
+    week = p("weeks", "06-to-12-Apr-2026.txt")
+    assert cli.main(["split-blocks", week, p("blocks")]) == 0
+    (tmp_path / "config").mkdir()
+    put = lambda n, v: (tmp_path / "config" / n).write_text(json.dumps(v, ensure_ascii=False))
+    put("mappings.json", {"SABAH MALA": ["sabah mala"]})
+    put("rules.json", {"drop": ["e"], "tokens": {"SHRI": ["shri"], "K": ["kohsar"], "J": ["jaap"]}, "chants": {"KOHSAR JAAP": "SHRI? K J"}})
+    put("decisions.json", {"anything": {"role": "name"}})
+    put("templates.json", [{"sender": "T", "slot": 1, "chant": "X"}, {"sender": "T", "slot": 2, "chant": "Y"}])
+    assert cli.main(["build-extracted", p("blocks"), p("e.json"), "--config", p("config")]) == 0
+    facts = json.loads((tmp_path / "e.json").read_text())
+    assert [(f["chant"], f["count"]) for f in facts] == [("SABAH MALA", 500), ("X", 100), ("Y", 7), ("KOHSAR JAAP", 30)]
+    assert cli.main(["reconcile", p("blocks"), p("e.json"), "--config", p("config")]) == 0
+    assert "CLEAN" in capsys.readouterr().out
+    assert cli.main(["aggregate", p("e.json"), p("out"), p("blocks"), "--config", p("config")]) == 0
+    assert {"reconcile_report.txt", "blocks.jsonl", "extracted.json", "summary.txt"} <= {f.name for f in (tmp_path / "out").iterdir()}
+    (tmp_path / "bad.json").write_text(json.dumps(facts[1:]))
+    assert cli.main(["aggregate", p("bad.json"), p("no"), p("blocks"), "--config", p("config")]) == 1 and not (tmp_path / "no").exists()
+    capsys.readouterr()
+    assert cli.main(["resolve-blocks", p("blocks"), "--config", p("config")]) == 0 and "2 facts, 1 open messages" in capsys.readouterr().out
+    assert cli.main(["compose", "Shri e Kohsar jaap", "nothing", "--config", p("config")]) == 0 and "Shri e Kohsar jaap\tKOHSAR JAAP" in capsys.readouterr().out
+    assert cli.main(["normalize", "Sabah-MALA", "--config", p("config")]) == 0 and "Sabah-MALA\tSABAH MALA" in capsys.readouterr().out
+    (tmp_path / "r.jsonl").write_text(json.dumps({"id": 1, "text": "a 5", "segments": [{"t": "a", "role": "chant-label"}, {"t": " 5", "role": "count"}]}) + "\n" + json.dumps({"id": 2, "text": "a", "segments": [{"t": "a", "role": "chant-label"}]}) + "\n")
+    assert cli.main(["pair", p("r.jsonl")]) == 0 and "1\t0\ta\t5\t" in capsys.readouterr().out
+    assert cli.main(["nothing"]) == 2
