@@ -170,9 +170,9 @@ def test_commands_print_every_row(spark, tmp_path, capsys):
     assert cli.main(["count-profile", str(tmp_path / "e.json"), str(tmp_path / "b.jsonl")]) == 0
     out = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
     at = [i for i, x in enumerate(out) if x[0] == "chant"] + [len(out)]
-    assert [b - a - 1 for a, b in zip(at, at[1:])] == [26, 26 * 7, 26 * 6]
+    assert [b - a - 1 for a, b in zip(at, at[1:])] == [26, 26 * 7, 26 * 6, 26 * 7]
     assert out[at[1] + 1 : at[2]] == [[f"C{i:02}", str(k + 1), "1"] for i in range(26) for k in range(7)]
-    assert out[at[2] + 1 :] == [[f"C{i:02}", str(10**k), "1", str(k + 1)] for i in range(26) for k in range(6)]
+    assert out[at[2] + 1 : at[3]] == [[f"C{i:02}", str(10**k), "1", str(k + 1)] for i in range(26) for k in range(6)]
 
 
 def test_lines_and_log(spark, tmp_path):
