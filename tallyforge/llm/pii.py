@@ -62,9 +62,9 @@ def shaped(s: str) -> str:
 _CHECK = {
     "phone": regex.compile(r"(?<![\w.])(?:\+?[0-9]{1,4}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?)?[0-9][0-9 .-]{5,13}[0-9](?![\w])"),
     "email": regex.compile(r"(?<![\w.+-])[\w.+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?:(?: ?\[dot\] ?|\(dot\)|\.)[\w-]+)+"),
-    "id_number": regex.compile(r"(?<![\w])(?:[a-z]{2,6}[0-9]{3,9}[a-z]?|[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4})(?![\w])"),
+    "id_number": regex.compile(r"(?<![\w])(?:[a-z]{2,6}[0-9]{3,9}[a-z]?|[a-z][0-9]{6,9}|[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w])"),
     "address": regex.compile(r"(?<![\w/])(?:\p{L}[\p{L}\p{M}.]* (?:[\p{L}\p{M}.]+ )?)?[0-9][^\n;|]*[\p{L}\p{M}]"),
-    "name": regex.compile(r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{3,} +[\p{L}\p{M}]{3,}(?![\p{L}\p{M}])"),
+    "name": regex.compile(r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{2,}(?:['’-][\p{L}\p{M}]+)? +[\p{L}\p{M}]{2,}(?:['’-][\p{L}\p{M}]+)?(?![\p{L}\p{M}])"),
 }
 _NEAR = 16
 _LEAST_DIGITS = {"phone": 8}
