@@ -1,6 +1,6 @@
 """Free-typed values to the entries of a reference list: a trie searched with a Levenshtein automaton.
 
-The trie holds, for every entry, its words joined in either order, and alias paths (known spellings, other scripts).
+The trie holds, for every entry and every known spelling of it (alias paths, in whatever script), the words joined in either order.
 The automaton of a query is determinised lazily: a state is the row of edit distances cut off above the limit. Trie and
 automaton are walked together, so that every entry within a length-dependent distance is found and no other is
 visited beyond it. A match must also hold word by word, so a long second word cannot carry a strange first one.
@@ -23,8 +23,8 @@ from tallyforge.functions.chars import py_key
 from tallyforge.functions.labels import HONORIFICS
 
 UNMATCHED = "UNMATCHED"
-#: Largest reference list that is sent to the workers.
-MAX_ENTRIES, MAX_ALIASES, MAX_SEEN = 200_000, 1_000_000, 200_000
+#: Spellings of the list that a worker holds at a time, and values that it remembers.
+SHARD, MAX_SEEN = 50_000, 200_000
 _NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 _LONG = [("ee", "i"), ("ea", "i"), ("oo", "u"), ("w", "v"), ("ph", "f"), ("q", "k")]
 _DOUBLE = regex.compile(r"(\p{L})\1+")
@@ -80,22 +80,22 @@ def prefix_edits(word: str, text: str) -> list[int]:
 
 
 class Matcher:
-    def __init__(self, entries: Iterable[str], aliases: Iterable[tuple[str, str]] = (), raw: bool = False):
-        entries, self.raw = list(entries), raw
+    """A trie of entries and their known spellings, each joined in either order of its words; `first` is the place of its first entry in the whole list."""
+
+    def __init__(self, entries: Iterable[str], aliases: Iterable[tuple[str, str]] = (), raw: bool = False, first: int = 0):
+        entries, aliases, self.raw = list(entries), sorted(aliases), raw
         #: Asked where folded vowels leave too little of a short word.
-        self.second = None if raw else Matcher(entries, (), True)
+        self.second = None if raw else Matcher(entries, (), True, first)
         self.trie: dict = {}
         self.order: dict[str, int] = {}
-        self.exact: dict[str, str] = {}
+        #: Words of the longest path, letters of the shortest.
+        self.most_words, self.least = 1, 1 << 20
         for e in entries:
-            self.order.setdefault(e, len(self.order))
+            self.order.setdefault(e, first + len(self.order))
             self._put(e, e)
-        for spelling, e in sorted(aliases):
+        for spelling, e in aliases:
             if e in self.order:
-                w = value_words(spelling, raw)
-                self.exact.setdefault("".join(w), e)
-                if any(not x.isascii() for x in w):
-                    self._put(spelling, e)
+                self._put(spelling, e)
 
     def _put(self, spelling: str, entry: str) -> None:
         w = value_words(spelling, self.raw)
@@ -105,6 +105,7 @@ class Matcher:
                 for c in "".join(words):
                     at = at.setdefault(c, {})
                 at.setdefault("", set()).add((entry, words))
+                self.most_words, self.least = max(self.most_words, len(words)), min(self.least, sum(map(len, words)))
 
     def search(self, query: str) -> list[tuple[int, str]]:
         """(distance, entry) of every entry within reach of a joined, folded query, nearest first."""
@@ -118,7 +119,7 @@ class Matcher:
                 if c == "":
                     if state[-1] <= most:
                         for entry, words in to:
-                            if state[-1] < found.get(entry, most + 1) and self.word_by_word(query, words):
+                            if state[-1] < found.get(entry, most + 1) and (state[-1] == 0 or self.word_by_word(query, words)):
                                 found[entry] = state[-1]
                 elif min(s := m.step(state, c)) <= most:
                     stack.append((to, s))
@@ -136,69 +137,102 @@ class Matcher:
             ends = nxt
         return len(query) in ends
 
-    def match(self, value: str | None) -> tuple[int, str]:
-        """(distance, entry) of a value; UNMATCHED at a large distance."""
-        if value in self.order:
-            return 0, value
+    def matches(self, value: str | None) -> list[tuple[int, int, str]]:
+        """(pass, distance, entry) of every entry within reach of a value, nearest first; pass 1 is the search of vowels as typed."""
         q = "".join(value_words(value, self.raw)) if value else ""
-        if q in self.exact:
-            return 0, self.exact[q]
-        hits = self.search(q) if q else []
-        if not hits and q and self.second:
-            return self.second.match(value)
-        return hits[0] if hits else (1 << 20, UNMATCHED)
+        hits = [(int(self.raw), d, e) for d, e in self.search(q)] if q else []
+        return self.second.matches(value) if not hits and q and self.second else hits
 
-    def match_inside(self, text: str | None) -> str:
-        """The entry that the words of a longer text name: the nearest match of one word, or of two that follow each other."""
-        best = (1 << 20, UNMATCHED)
+    def matches_inside(self, text: str | None) -> list[tuple[int, int, str]]:
+        """As `matches`, of the words of a longer text: of any words that follow each other, as many as the longest entry has."""
+        found: dict[str, int] = {}
         for run in regex.split(r"\p{N}+", py_key(text)) if text else ():
             w = value_words(run, self.raw)
             for i in range(len(w)):
-                for q in {w[i], "".join(w[i : i + 2])}:
-                    if len(q) >= 5:
-                        d, e = (0, self.exact[q]) if q in self.exact else next(iter(self.search(q)), best)
-                        if d < best[0]:
-                            best = d, e
-        return self.second.match_inside(text) if best[1] == UNMATCHED and self.second else best[1]
+                for q in dict.fromkeys("".join(w[i : i + k]) for k in range(1, self.most_words + 1)):
+                    if len(q) + limit(len(q)) >= self.least:
+                        for d, e in self.search(q):
+                            found[e] = min(d, found.get(e, d))
+        hits = [(int(self.raw), d, e) for e, d in sorted(found.items(), key=lambda x: (x[1], self.order[x[0]]))]
+        return self.second.matches_inside(text) if not hits and self.second else hits
+
+    def best(self, value: str | None, inside: bool = False) -> tuple[int, int, int, str] | None:
+        """(pass, distance, place in the list, entry) of the nearest entry, or None."""
+        hits = self.matches_inside(value) if inside else self.matches(value)
+        return min((p, d, self.order[e], e) for p, d, e in hits) if hits else None
 
+    def match(self, value: str | None) -> tuple[int, str]:
+        """(distance, entry) of a value; UNMATCHED at a large distance."""
+        b = self.best(value)
+        return (b[1], b[3]) if b else (1 << 20, UNMATCHED)
 
-def matcher_of(chant_list: DataFrame, chant_variants: DataFrame) -> Matcher:
-    """A matcher of the list and its known spellings; both are fixed lists whose sizes are checked."""
-    entries = chant_list.where("chant is not null").groupBy("chant").agg(F.min("ord").alias("ord")).orderBy("ord", "chant").limit(MAX_ENTRIES + 1).collect()
-    aliases = chant_variants.where("key is not null and canonical is not null").select("key", "canonical").distinct().limit(MAX_ALIASES + 1).collect()
-    if len(entries) > MAX_ENTRIES or len(aliases) > MAX_ALIASES:
-        raise ValueError("the reference list is too large to be sent to the workers")
-    return Matcher([r.chant for r in entries], [(r.key, r.canonical) for r in aliases])
-
-
-def canonical_values(values: DataFrame, matcher: Matcher, value: str = "value", inside: bool = False) -> DataFrame:
-    """Adds `canonical`: the entry meant by each value, or by the words of a longer text."""
-
-    @F.pandas_udf("string")
-    def canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def match_inside(self, text: str | None) -> str:
+        b = self.best(text, True)
+        return b[3] if b else UNMATCHED
+
+
+def matchers_of(chant_list: DataFrame, chant_variants: DataFrame) -> list[Matcher]:
+    """Matchers of the list and its known spellings, SHARD spellings each: what is sent to a worker at a time is bounded, however long the list."""
+    entries = chant_list.where("chant is not null").groupBy("chant").agg(F.min("ord").alias("ord"))
+    known = chant_variants.where("key is not null and canonical is not null").groupBy(F.col("canonical").alias("chant")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    out, own, aliases, first, size = [], [], [], 0, 0
+    for r in entries.join(known, "chant", "left").orderBy("ord", "chant").toLocalIterator():
+        if size >= SHARD:
+            out.append(Matcher(own, aliases, first=first))
+            own, aliases, first, size = [], [], first + len(own), 0
+        own.append(r.chant)
+        aliases += [(k, r.chant) for k in r["keys"] or ()]
+        size += 1 + len(r["keys"] or ())
+    return [*out, Matcher(own, aliases, first=first)]
+
+
+def _hits(matcher: Matcher, inside: bool):
+    @F.pandas_udf("struct<pass:int,distance:int,place:int,entry:string>")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
         for b in batches:
             out = []
             for v in b:
-                if (c := seen.get(v)) is None:
+                if v not in seen:
                     if len(seen) >= MAX_SEEN:
                         seen.clear()
-                    s = v if isinstance(v, str) else None
-                    c = seen[v] = matcher.match_inside(s) if inside else matcher.match(s)[1]
-                out.append(c)
-            yield pd.Series(out, dtype=object)
+                    seen[v] = matcher.best(v if isinstance(v, str) else None, inside) or (9, 1 << 20, 1 << 30, UNMATCHED)
+                out.append(seen[v])
+            yield pd.DataFrame(out, columns=["pass", "distance", "place", "entry"]).astype({"pass": "int32", "distance": "int32", "place": "int32"})
+
+    return hit
+
+
+def canonical_values(values: DataFrame, matchers: list[Matcher], value: str = "value", inside: bool = False) -> DataFrame:
+    """Adds `canonical`: the entry meant by each value, or by the words of a longer text; of several shards' the nearest."""
+    hits = [_hits(m, inside)(F.col(value)) for m in matchers]
+    return values.withColumn("canonical", (hits[0] if len(hits) == 1 else F.least(*hits))["entry"])
+
+
+def all_matches(values: DataFrame, matchers: list[Matcher], value: str = "value", inside: bool = False) -> DataFrame:
+    """(value, canonical, distance, rank) of every entry within a value's reach, one row each; values with none have no row. Distinct values are searched once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for v in b["value"]:
+                hits = [(p, d, m.order[e], e) for m in matchers for p, d, e in (m.matches_inside(v) if inside else m.matches(v))]
+                least = min((h[0] for h in hits), default=0)
+                rows += [(v, e, d, i + 1) for i, (_, d, _, e) in enumerate(sorted(h for h in hits if h[0] == least))]
+            yield pd.DataFrame(rows, columns=["value", "canonical", "distance", "rank"]).astype({"distance": "int32", "rank": "int32"})
 
-    return values.withColumn("canonical", canonical(F.col(value)))
+    return values.where(F.col(value).isNotNull()).select(F.col(value).alias("value")).distinct().mapInPandas(run, "value string, canonical string, distance int, rank int")
 
 
 def canonical_chants(extracted: DataFrame, blocks: DataFrame, review: DataFrame, chant_list: DataFrame, chant_variants: DataFrame) -> DataFrame:
     """(msg_id, seq, canonical) of rows not letter for letter in the list, and of blocks whose label was not resolved."""
-    m = matcher_of(chant_list, chant_variants)
-    listed = list(m.order)
+    m = matchers_of(chant_list, chant_variants)
+    listed = chant_list.where("chant is not null").select("chant").distinct()
+    # copies of a spelling are counted into one before the list is asked, and each distinct one is searched once
+    spellings = extracted.where("chant is not null").select("chant").distinct().join(listed, "chant", "left_anti")
+    cores = spellings.sparkSession.sparkContext.defaultParallelism
+    known = canonical_values(spellings.repartition(max(cores, int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions")))), m, "chant")
     typed = extracted.where("chant is not null and msg_id is not null").select("msg_id", "seq", "chant")
-    typed = typed.where(~F.col("chant").isin(listed)) if listed else typed
-    # each distinct spelling is searched once; its rows then meet it again
-    known = canonical_values(typed.select("chant").distinct(), m, "chant")
     rows = typed.join(known, "chant").select("msg_id", "seq", "canonical")
     open_ = review.where("code = 'unresolved' and msg_id is not null").select("msg_id").distinct()
     texts = blocks.select(F.col("id").alias("msg_id"), "text").join(open_, "msg_id", "left_semi")
