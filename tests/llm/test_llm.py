@@ -199,6 +199,24 @@ def test_values_to_entries():
     assert canon.Matcher([]).match("x")[1] == "UNMATCHED"
 
 
+def test_aliases_long_entries_shards_and_all_hits(spark, monkeypatch):
+    m = canon.Matcher([*LIST, "NIGHT OF STARS"], [("purani misaal", "KOHSAR JAAP")])
+    assert m.match("purani misal") == (0, "KOHSAR JAAP") and m.match("purini misaal") == (1, "KOHSAR JAAP")  # one letter off a known spelling
+    assert m.match_inside("aaj night of stras 40 bar") == "NIGHT OF STARS"
+    assert [e for _, _, e in canon.Matcher(["SABAH MALA", "SABAH MALAH"]).matches("sabah mala")] == ["SABAH MALA", "SABAH MALAH"]
+    lst = spark.createDataFrame([(i, c) for i, c in enumerate(LIST)], "ord int, chant string")
+    var = spark.createDataFrame([("purani misaal", "KOHSAR JAAP")], "key string, canonical string")
+    values = spark.createDataFrame([("sabh mala",), ("purani misaal",), ("zzz",), (None,), ("mala neelam",)], "value string")
+    whole = canon.matchers_of(lst, var)
+    monkeypatch.setattr(canon, "SHARD", 2)
+    parts = canon.matchers_of(lst, var)
+    assert len(whole) == 1 and len(parts) > 2
+    of = lambda ms: {(r.value, r.canonical) for r in canon.canonical_values(values, ms).collect()}
+    assert of(whole) == of(parts) == {("sabh mala", "SABAH MALA"), ("purani misaal", "KOHSAR JAAP"), ("zzz", "UNMATCHED"), (None, "UNMATCHED"), ("mala neelam", "NEELAM MALA")}
+    got = {tuple(r) for r in canon.all_matches(values, parts).collect()}
+    assert got == {tuple(r) for r in canon.all_matches(values, whole).collect()} and {(v, e) for v, e, *_ in got} >= {("sabh mala", "SABAH MALA"), ("purani misaal", "KOHSAR JAAP")}
+
+
 def test_canonical_chants(spark, blocks_of):
     e = spark.createDataFrame([(1, 1, "SABAH MALA", 1), (1, 2, "sabah mala", 1), (1, 2, "sabah mala", 1), (2, 1, None, 1), (3, 1, "xyz", None)], "msg_id long, seq int, chant string, count long")
     rv = spark.createDataFrame([(9, "HARD", "unresolved", "m"), (9, "HARD", "unresolved", "m"), (8, "INFO", "non-chant", "m"), (7, "HARD", "unresolved", "m")], "msg_id long, level string, code string, message string")
@@ -268,13 +286,13 @@ def test_longest_run_agrees_with_brute_force():
     for _ in range(200):
         item = r.sample(range(500), 24)
         doc = ["zz" if r.random() < 0.12 else f"w{x}" for x in item[r.randint(0, 8) : r.randint(16, 24)]]
-        got = list(leak.Index([(1, " ".join(f"w{x}" for x in item))], 4).leaks([" ".join(doc)], 10, 2.0))
+        got = list(leak.Index([(1, " ".join(f"w{x}" for x in item))]).leaks([" ".join(doc)], 10, 2.0))
         best, run, since, k = 0, 0, 99, 0
-        while k < len(doc):  # pieces of four or more shared words, joined across one replaced word
+        while k < len(doc):  # pieces of three or more shared words, joined across one replaced word
             n = k
             while n < len(doc) and doc[n] != "zz":
                 n += 1
-            if n - k >= 4:
+            if n - k >= 3:
                 run = run + 1 + n - k if since == 1 else n - k
                 best, since = max(best, run), 0
             else:
@@ -285,6 +303,13 @@ def test_longest_run_agrees_with_brute_force():
     assert min(both) > 20
 
 
+def test_every_fourth_word_replaced_and_short_items():
+    item = [f"w{i}" for i in range(24)]
+    doc = " ".join(w if i % 4 else f"z{i}" for i, w in enumerate(item))
+    index = leak.Index([(1, " ".join(item)), (2, "just three words"), (3, "a b c d"), (4, "one")])
+    assert set(index.leaks([doc, "x just THREE words y", "a b c e", "a b c d", None, "one " * 50_000], 18, 0.9)) == {(0, 1), (1, 2), (3, 3), (5, 4)}
+
+
 @needs_data
 def test_levels_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
