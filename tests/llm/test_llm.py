@@ -156,6 +156,11 @@ def test_what_is_left_alone(same):
     assert forms.one_form(same) == same
 
 
+@pytest.mark.parametrize("odd, form", [("ɢo GO", "go GO"), ("հello", "hello"), ("a\u3164b", "ab"), ("x\U000e0041y", "xy"), ("e\u200b\u0301", "é"), ("चि\u200dरग", "चिरग"), ("sa\u200cbah", "sabah"), ("क\u094d\u200dष", "क\u094d\u200dष"), ("می\u200cدانم", "می\u200cدانم"), ("صبا\u200cح", "صباح"), ("🏴\U000e0067\U000e0062\U000e007f", "🏴\U000e0067\U000e0062\U000e007f"), ("ᏴOB", "BOB")])
+def test_further_scripts_fillers_and_joiners(odd, form):
+    assert forms.one_form(odd) == form and forms.one_form(form) == form
+
+
 def test_odd_fields(blocks_of):
     b = blocks_of([(1, None, "A​", "x"), (2, None, None, "Halqа"), (3, None, "", None), (1, None, "A​", "x")]).withColumn("value", F.lit(1))
     assert {tuple(r) for r in forms.odd_fields(b).collect()} == {(1, "sender"), (2, "text")}
