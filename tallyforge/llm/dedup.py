@@ -228,10 +228,10 @@ def prepared(blocks: DataFrame) -> DataFrame:
     """(id, src, keys, text): blocks with a sender, a readable date and a text; `keys` are those of the prefixes of its numbers, its own last."""
     t = F.col("text")
     plain = F.when(t.rlike(BEYOND_ASCII), F.translate(t, "".join(DIGITS) + INVISIBLE, "".join(DIGITS.values()))).otherwise(t)
-    d = spread(blocks.select("id", "src_idx", "sender", "envelope_date", "text")).where("id is not null and src_idx is not null").select(
-        F.col("id").cast("long").alias("id"), F.col("src_idx").cast("int").alias("src"), sender_key(F.col("sender")).alias("sender"), written_day(F.col("envelope_date")).alias("day"), "text", F.regexp_extract_all(plain, F.lit(r"[0-9]+"), F.lit(0)).alias("_n"), t.rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]").alias("_some"),
-    )
-    d = d.where("sender <> '' and day is not null and _some")
+    b = spread(blocks.select("id", "src_idx", "sender", "envelope_date", "text")).where(F.col("id").isNotNull() & F.col("src_idx").isNotNull() & t.rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]"))
+    # the generator keeps the optimiser from working out sender and numbers again for the filter
+    once = F.inline(F.array(F.struct(sender_key(F.col("sender")).alias("sender"), F.regexp_extract_all(plain, F.lit(r"[0-9]+"), F.lit(0)).alias("_n"))))
+    d = b.select(F.col("id").cast("long").alias("id"), F.col("src_idx").cast("int").alias("src"), written_day(F.col("envelope_date")).alias("day"), "text", once).where("sender <> '' and day is not null")
     # a text without its numbers is no copy: of the prefixes the empty one is left out, unless it is all there is
     size = F.size("_n")
     keys = F.transform(F.sequence(F.least(size, F.lit(1)), size), lambda k: F.xxhash64("sender", "day", F.array_join(F.slice("_n", 1, k), " ")))
@@ -302,18 +302,17 @@ def with_copies(best: DataFrame, copies: DataFrame) -> DataFrame:
 def repeats(blocks: DataFrame, share: float = 0.75, per_block: int = 20_000, few_keys: int = FEW_KEYS, hot: int = HOT) -> DataFrame:
     """(first_id, id) of every block that repeats one of an earlier batch; first_id is the earliest that it repeats.
 
-    First the keys alone are counted; only rows with a key that others share go on, with their text. `per_block` bounds how
+    First the keys alone are kept and counted; only rows with a key that others share go on, with their text. `per_block` bounds how
     many entries a task holds at a time, but for a single key's.
     """
-    rows = prepared(blocks)
-    shared = cut_lineage(shared_keys(rows))
-    few = shared.count() <= few_keys
-    side = lambda d: F.broadcast(d) if few else d
-    keyed = rows.select("id", "src", "text", "keys", F.explode("keys").alias("key")) if few else rows.select("id", "src", "keys", F.explode("keys").alias("key"))
-    kept = keyed.join(side(shared), "key").groupBy("id", "src", "keys").agg(F.collect_set(F.struct("key", "c")).alias("kept"), *([F.first("text").alias("text")] if few else []))
-    if not few:
-        kept = kept.join(rows.select("id", "text"), "id")
-    one, copies = records(kept)
+    # the keys, 8 bytes each, are kept; the text is read again for rows that go on, told apart by its hash should an id be there twice
+    rows = cut_lineage(prepared(blocks).select("id", "src", "keys", F.xxhash64("text").alias("_h")))
+    shared = cut_lineage(shared_keys(rows.withColumn("text", F.lit(None).cast("string"))))
+    side = F.broadcast(shared) if shared.count() <= few_keys else shared
+    kept = rows.select("*", F.explode("keys").alias("key")).join(side, "key").groupBy("id", "src", "_h").agg(F.first("keys").alias("keys"), F.collect_set(F.struct("key", "c")).alias("kept"))
+    text = blocks.where("text is not null").select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("_h"), "text").join(kept, ["id", "_h"])
+    # read twice, for the records and for the other copies of a batch
+    one, copies = records(cut_lineage(text.select("id", "src", "text", "keys", "kept").distinct()))
     return with_copies(search_in_order(filed(one, hot), share, per_block), copies)
 
 
