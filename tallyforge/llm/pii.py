@@ -178,7 +178,9 @@ def personal_information(blocks: DataFrame) -> DataFrame:
     has = r"[\p{L}\p{N}]"
     texts = personal_spans(b.where(F.col("text").rlike(has)).select("id", F.lit("text").alias("field"), F.col("text").alias("value")))
     who = b.where(F.col("sender").rlike(has)).select("sender").distinct()
-    found = _with_source(who)
+    # parts fixed before the model: small values, much work, so packing them by size would leave it to one task
+    spark = b.sparkSession
+    found = _with_source(who.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     senders = b.select("id", "sender").join(found, "sender").select("id", F.lit("sender").alias("field"), "kind", "piece")
     return texts.unionByName(senders).withColumnRenamed("piece", "value").distinct()
 
