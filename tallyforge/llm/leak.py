@@ -130,10 +130,17 @@ class Index:
         p, q = p[true], q[true]
         doc, owner = np.searchsorted(begin, p, "right") - 1, self.owner[q]
         start = np.array(self.start, dtype=np.int64)
-        seeds = np.unique(np.stack((doc, owner, (p - begin[doc]) - (q - start[owner])), axis=1), axis=0) if len(p) else np.zeros((0, 3), np.int64)
         by: dict[tuple[int, int], list[int]] = {}
-        for d, o, g in seeds.tolist():
-            by.setdefault((d, o), []).append(g)
+        if len(p):
+            seeds, count = np.unique(np.stack((doc, owner, (p - begin[doc]) - (q - start[owner])), axis=1), axis=0, return_counts=True)
+            pair, inverse = np.unique(seeds[:, :2], axis=0, return_inverse=True)
+            size = (start[1:] - start[:-1])[seeds[:, 1]]
+            # a stretch of n words holds (n - 4) / 5 seeds or more, so tiles of n words in all have n / 9 or more between them:
+            # pairs with fewer cannot leak, and without enough for coverage only a diagonal with enough for a run matters
+            enough = np.bincount(inverse.reshape(-1), count, len(pair))[inverse.reshape(-1)] * 9 >= coverage * size
+            may = enough | (count * 5 + 4 >= np.minimum(run, size))
+            for d, o, g in seeds[may].tolist():
+                by.setdefault((d, o), []).append(g)
         for (d, o), diagonals in by.items():
             size = int(start[o + 1] - start[o])
             tiles = self.tiles(codes[begin[d] : begin[d + 1] - self.SPAN], o, diagonals)
